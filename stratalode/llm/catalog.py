@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op3_benchmark_decontamination
 from .fingerprints import op1_document_fingerprints
 from .importance import op8_importance_resampling
+from .katz import op4_lm_scoring
 from .language import op7_language_id
 from .pieces import op2_sentencepiece
 from .private_data import op10_private_data
@@ -15,7 +16,7 @@ from .token_files import op5_token_files
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_document_fingerprints, op2_sentencepiece, op3_benchmark_decontamination, op5_token_files, op6_substring_dedup,
+        op1_document_fingerprints, op2_sentencepiece, op3_benchmark_decontamination, op4_lm_scoring, op5_token_files, op6_substring_dedup,
         op7_language_id, op8_importance_resampling, op9_simhash_near_dedup, op10_private_data,
     )
 }
