@@ -195,6 +195,8 @@ def _repeated(buckets: int):
 def _owned(data: list[bytes], columns: int) -> dict[int, list[np.ndarray]]:
     """Rows by their second column, the doc_id."""
     cols = unpack(data, columns)
+    if not len(cols[1]):
+        return {}
     order = np.argsort(cols[1], kind="stable")
     cols = [c[order] for c in cols]
     ids, at = np.unique(cols[1], return_index=True)
