@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import registry
+from .plans import corpus, registry, star
 
+MODULES = (corpus, star)
 QUERIES, ORACLES, FLAGSHIP = registry.QUERIES, registry.ORACLES, registry.FLAGSHIP
