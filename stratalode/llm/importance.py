@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
+from .repeats import Known
 
 BUCKETS = 1 << 14
 SMOOTH = 1.0
@@ -21,16 +22,12 @@ REMEMBERED = 300_000
 
 def _hasher():
     """Buckets of a text's n-grams: words in lower case, then pairs of neighbours."""
-    from xxhash import xxh64_intdigest
-
-    known: dict[bytes, int] = {}
+    known = Known()
 
     def grams(text: bytes) -> np.ndarray:
         words = text.lower().split()
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ h[1:]
         pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -50,7 +50,7 @@ class Texts(Hasher):
 
     def __init__(self):
         super().__init__()
-        self.start, self.end = np.array([self.of(b" start")], np.uint64), np.array([self.of(b" end")], np.uint64)
+        self.start, self.end = self.words([b" start"]), self.words([b" end"])
 
     def read(self, batches):
         """(doc_id, in training, tokens, histories) of every row."""

@@ -54,19 +54,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class Known(dict):
+    """Hashes of words, each computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+
 class Hasher:
     """Hashes of words, and of runs of words."""
 
     def __init__(self):
-        from xxhash import xxh64_intdigest
-
-        self.of, self.known = xxh64_intdigest, {}
+        self.known = Known()
 
     def words(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        for w in set(words) - self.known.keys():
-            self.known[w] = self.of(w)
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     @staticmethod
