@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus, registry, star
+from .plans import code, corpus, registry, star
 
-MODULES = (corpus, star)
+MODULES = (code, corpus, star)
 QUERIES, ORACLES, FLAGSHIP = registry.QUERIES, registry.ORACLES, registry.FLAGSHIP
