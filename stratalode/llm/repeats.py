@@ -405,7 +405,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     n, run = int(spark.conf.get("spark.sql.shuffle.partitions")), window // 2
-    parts = buckets = 4 * n + 1
+    parts = buckets = n
+    shards = 4 * n + 1
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     blob, found = "kind int, part int, data binary", "kind int, part int, doc_id long, n_words long, data binary, digest string"
     anchors = stored(docs.mapInArrow(_anchors(parts, buckets, window, run), blob), "anchors")
@@ -415,7 +416,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     texts = near.where(F.col("kind") == TEXT).select("part", "doc_id", "data")
     sets = near.select("kind", "part", "data")
     refs = sets.where(F.col("kind").isin(HIT, REF)).unionByName(sets.where(F.col("kind") == WINDOW).groupBy("part").applyInArrow(_references(buckets), blob))
-    spans = texts.groupBy("part").cogroup(refs.groupBy("part")).applyInArrow(_spans(parts, window), "shard int, is_ref boolean, doc_id long, at long, n long, words binary")
+    spans = texts.groupBy("part").cogroup(refs.groupBy("part")).applyInArrow(_spans(shards, window), "shard int, is_ref boolean, doc_id long, at long, n long, words binary")
     spans = stored(spans, "spans")
     sizes = stored(spans.where("not is_ref").groupBy("shard").agg(F.ceil(F.sum("n") / STREAMED).cast("int").alias("tasks")), "shards")
     rows = spans.join(F.broadcast(sizes), "shard")  # as many rows as shards, a parameter
