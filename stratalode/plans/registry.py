@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "rule_match_secret"
+FLAGSHIP = "source_findings"
 
 
 def query(oracle: str | None = None):
