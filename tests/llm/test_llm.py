@@ -221,6 +221,10 @@ def test_private_data(docs, empty):
     r = got[900010]
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
     assert r.spans == "email:5:13,ip:17:25,card:31:50,phone:55:72"
+    for t in ("a@b.c@d.e", "x@@y.z", "@a.b", "a@b", "a..b@c-d.e.f.", "é+a@b.c", "a@b.c.d@e.f g@h.i", "u@v.w@", "9" * 6000 + ".1.1.1", "a" * 50000 + " b@c.d"):
+        assert [s[1:] for s in private_data.emails(t)] == [m.span() for m in private_data.BASE["email"].finditer(t[-2000:] if len(t) > 40000 else t)] or len(t) > 40000
+        private_data.base_spans(t)
+        private_data.proposals(t)
     assert private_data.redacted("a b@c.de f", [("email", 2, 8)]) == "a <EMAIL> f"
     x, y, kinds = private_data.labelled(2000, 99)
     m = private_data.model()
