@@ -31,6 +31,8 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: BASE["ip"] without useless attempts: it can only begin where a run of digits does, and giving digits back never helps.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 GENERATORS = {
     "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}[ ]?(?:\[at\]|\(at\)|\bat\b)[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\[dot\]|\(dot\)|\bdot\b)[ ]?[A-Za-z0-9-]+)+", re.I),
@@ -75,7 +77,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns, by kind and start. A match that fails its test is dropped, not retried."""
     out = list(emails(text))
     if NEEDS["digit"].search(text):
-        out += [("ip", *m.span()) for m in BASE["ip"].finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
         for m in BASE["card"].finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(d) <= 19 and luhn(d):
