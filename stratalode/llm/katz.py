@@ -72,6 +72,17 @@ class Texts(Hasher):
             yield [np.concatenate(c) for c in zip(*got, strict=True)]
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Differences from one to the next, modulo 2**64: small in sorted stretches."""
+    return np.diff(a, prepend=np.uint64(0))
+
+
+def short(a: np.ndarray) -> np.ndarray:
+    """Doubles rounded to 37 bits of mantissa (a relative error of 1e-11), which leaves two bytes of zeros to compress."""
+    b = np.ascontiguousarray(a, np.float64).view(np.uint64)
+    return ((b + np.uint64(1 << 15)) & np.uint64(~0xFFFF & (1 << 64) - 1)).view(np.float64)
+
+
 def firsts(*cols: np.ndarray) -> np.ndarray:
     """Where sorted rows differ from the row before."""
     if not len(cols[0]):
@@ -169,7 +180,7 @@ def _pairs(parts: int, hot: np.ndarray):
             ends = np.append(cut[1:], len(p))
             types = np.searchsorted(at, np.append(cut, len(p)))
             train = sums(t, at)
-            rows = [(int(p[i]), raw(np.diff(h[at[a:b]], prepend=np.uint64(0)), w[at[a:b]], train[a:b], n[a:b]), raw(d[i:j])) for i, j, a, b in zip(cut, ends, types[:-1], types[1:], strict=True)]
+            rows = [(int(p[i]), raw(steps(h[at[a:b]]), steps(w[at[a:b]]), train[a:b], n[a:b]), raw(d[i:j])) for i, j, a, b in zip(cut, ends, types[:-1], types[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "types", "docs"])
 
     return go
@@ -178,15 +189,15 @@ def _pairs(parts: int, hot: np.ndarray):
 MERGED = "part int, hot binary, histories binary, shares binary, unseen binary, of_counts array<long>, ngrams binary"
 
 
+#: A part is merged in so many slices of its histories, so that a task holds temporary columns of one slice at a time.
+SLICES = 6
+
+
 def _merge(uni: Unigrams, hot: np.ndarray, hot_n: np.ndarray):
     """A part's n-grams, histories (h, c(h), types counted 1..5, tokens of the rest, unigram mass of what was seen) and shares of documents."""
 
-    def go(pairs: pa.Table, words: pa.Table) -> pa.Table:
-        h, w, train, n = [np.concatenate(c) for c in zip(*[_one(x) for x in pairs.column("types").to_pylist()], strict=True)] if len(pairs) else [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64)]
-        (doc,) = unraw(pairs.column("docs").to_pylist(), np.int64)
-        known, count = unpack(words.column("data").to_pylist(), 2)
-        order = np.argsort(known)
-        known, count = known[order], count[order]
+    def merged(h, w, train, n, to, docs, known, count, first):
+        """One slice: statistics of histories, n-grams, shares added up by document (rows of `to`), and unseen (history, document)."""
         order = np.lexsort((w, h))
         at = firsts(h[order], w[order])
         kind = np.empty(len(h), np.int64)
@@ -203,22 +214,47 @@ def _merge(uni: Unigrams, hot: np.ndarray, hot_n: np.ndarray):
         rest, seen_mass = np.bincount(of, r * (r > UP_TO), len(ctx)), np.bincount(of, p * (r > 0), len(ctx))
         alone = (low.sum(0) == 0) & ~spread  # nothing to discount: the unseen words share one count more
         whole = np.where(spread, hot_n[np.searchsorted(hot, h[ctx]).clip(0, max(len(hot) - 1, 0))] if len(hot) else total, total) + alone * (total > 0)
-        occ = np.repeat(kind, n)
-        ids, to = np.unique(doc, return_inverse=True)
-        ro, co, xo = r[occ], c[occ], of[occ]
-        add = lambda v: np.bincount(to, v, len(ids))
         with np.errstate(divide="ignore"):
-            part = np.where(ro > 0, np.log10(np.maximum(ro, 1) / np.maximum(whole[xo], 1)), np.log10(p[occ]))
-            base = np.log10((co + 1) / (uni.n + uni.v + 1))
-        shares = [ids, add(base), add(part), add(np.ones(len(to))), add(co > 0), *(add(ro == k) for k in range(1, UP_TO + 1))]
-        late = (ro == 0) & (whole[xo] > 0)
-        stats = [h[ctx].view(np.int64), whole, *low, rest, seen_mass]
-        pick = lambda m: raw(*(np.asarray(s)[m].astype(np.int64) if i not in (len(stats) - 1,) else np.asarray(s)[m].astype(np.float64) for i, s in enumerate(stats)))
+            part = np.where(r > 0, np.log10(np.maximum(r, 1) / np.maximum(whole[of], 1)), np.log10(p))
+            base = np.log10((c + 1) / (uni.n + uni.v + 1))
+        occ = np.repeat(kind, n)
+        ro = r[occ]
+        add = lambda v: np.bincount(to, v, docs)
+        shares = [add(base[occ]), add(part[occ]), add(np.ones(len(to))), add(c[occ] > 0), *(add(ro == k) for k in range(1, UP_TO + 1))]
+        late = (ro == 0) & (whole[of][occ] > 0)
+        stats = [h[ctx].view(np.int64), whole.astype(np.int64), *low.astype(np.int64), rest.astype(np.int64), seen_mass]
+        return stats, spread, (h[r > 0], w[r > 0], r[r > 0]), shares, (of[occ][late] + first, to[late])
+
+    def go(pairs: pa.Table, words: pa.Table) -> pa.Table:
+        cols = [_one(x) for x in pairs.column("types").to_pylist()]
+        h, w, train, n = [np.concatenate(c) for c in zip(*cols, strict=True)] if cols else [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64)]
+        del cols
+        (doc,) = unraw(pairs.column("docs").to_pylist(), np.int64)
+        ids, doc = np.unique(doc, return_inverse=True)
+        known, count = unpack(words.column("data").to_pylist(), 2)
+        order = np.argsort(known)
+        known, count = known[order], count[order]
+        begin = np.cumsum(n) - n
+        slice_of = (h >> np.uint64(5)) % np.uint64(SLICES)
+        stats, spread, grams, shares, unseen, first = [], [], [], None, [], 0
+        for k in range(SLICES):
+            own = np.flatnonzero(slice_of == k)
+            rows = np.repeat(begin[own] - np.append(0, np.cumsum(n[own])[:-1]), n[own]) + np.arange(n[own].sum()) if len(own) else np.zeros(0, np.int64)
+            s, hot_here, g, sh, u = merged(h[own], w[own], train[own], n[own], doc[rows], len(ids), known, count, first)
+            stats.append(s)
+            spread.append(hot_here)
+            grams.append(g)
+            unseen.append(u)
+            shares = sh if shares is None else [a + b for a, b in zip(shares, sh, strict=True)]
+            first += len(s[0])
+        stats = [np.concatenate(c) for c in zip(*stats, strict=True)]
+        gh, gw, gr = (np.concatenate(c) for c in zip(*grams, strict=True))
+        x, to = (np.concatenate(c).astype(np.int64) for c in zip(*unseen, strict=True))
+        hot_rows = np.concatenate(spread)
         row = {
-            "part": pairs.column("part")[0].as_py() if len(pairs) else 0, "hot": pick(spread), "histories": pick(np.ones(len(ctx), bool)),
-            "shares": raw(*(s.astype(np.float64) if 0 < i < 3 else s.astype(np.int64) for i, s in enumerate(shares))),
-            "unseen": raw(xo[late].astype(np.int64), to[late].astype(np.int64)), "of_counts": [int((r == k).sum()) for k in range(1, UP_TO + 2)],
-            "ngrams": raw(np.diff(h[r > 0], prepend=np.uint64(0)), w[r > 0], r[r > 0]),
+            "part": pairs.column("part")[0].as_py() if len(pairs) else 0, "hot": raw(*(s[hot_rows] for s in stats)), "histories": raw(*stats),
+            "shares": raw(ids, short(shares[0]), short(shares[1]), *(s.round().astype(np.int64) for s in shares[2:])),
+            "unseen": raw(x, to), "of_counts": [int((gr == k).sum()) for k in range(1, UP_TO + 2)], "ngrams": raw(steps(gh), steps(gw), gr),
         }
         names = ["part", "hot", "histories", "shares", "unseen", "of_counts", "ngrams"]
         kinds = [pa.int32(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.binary()]
@@ -229,7 +265,7 @@ def _merge(uni: Unigrams, hot: np.ndarray, hot_n: np.ndarray):
 
 def _one(data: bytes) -> list[np.ndarray]:
     h, w, train, n = unraw([data], np.uint64, np.uint64, np.int64, np.int64)
-    return [np.cumsum(h, dtype=np.uint64), w, train, n]
+    return [np.cumsum(h, dtype=np.uint64), np.cumsum(w, dtype=np.uint64), train, n]
 
 
 STATS = (np.int64, np.int64, *[np.int64] * UP_TO, np.int64, np.float64)
@@ -260,7 +296,7 @@ def _finish(d: np.ndarray, hot: np.ndarray, hot_alpha: np.ndarray, buckets: int)
                 cut = firsts(where[order])
                 for a, z in zip(cut, np.append(cut[1:], len(ids)), strict=True):
                     rows = order[a:z]
-                    yield blobs([(0, int(where[rows[0]]), raw(ids[rows], base[rows], score[rows], n[rows], known[rows]))])
+                    yield blobs([(0, int(where[rows[0]]), raw(ids[rows], base[rows], short(score[rows]), n[rows], known[rows]))])
 
     return go
 
