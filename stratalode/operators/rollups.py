@@ -143,3 +143,21 @@ def checks_score(checks: DataFrame) -> DataFrame:
     df = checks.agg(F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0)).alias("got"), F.sum("weight").alias("most"))
     df = df.select(F.bround(100.0 * F.col("got") / F.col("most"), 0).cast("long").alias("score"))
     return df.withColumn("band", grade(F.col("score"), (80, "high"), (60, "good"), (40, "fair"), below="low"))
+
+
+def true_rate(votes: DataFrame, by: str, verdict: Column, least: int = 3) -> DataFrame:
+    """Share of true verdicts of each group; null under `least` votes."""
+    return votes.groupBy(by).agg(F.count(F.lit(1)).alias("votes"), F.avg(verdict.cast("int")).alias("__r")).select(by, "votes", F.when(F.col("votes") >= least, F.col("__r")).alias("true_rate"))
+
+
+def suggested_rules(advice: DataFrame, by: str, most: int = 10) -> DataFrame:
+    """One row a kind of advice: the first groups by votes as a YAML list."""
+    from pyspark.sql.window import Window as W
+
+    ranked = advice.withColumn("__k", F.row_number().over(W.partitionBy("advice").orderBy(F.desc("votes"), by))).where(F.col("__k") <= most)
+    rows = ranked.groupBy("advice").agg(F.array_sort(F.collect_list(F.struct("__k", F.concat(F.lit("  - "), F.col(by)).alias("l")))).alias("ls"))
+    return rows.select("advice", F.concat(F.col("advice"), F.lit(":\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("yaml"))
+
+
+def fix_statistics(fixes: DataFrame) -> DataFrame:
+    return fixes.groupBy("method").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verified")).alias("verified"))

@@ -34,18 +34,17 @@ def watch(listings: DataFrame, snapshot: str, on_change, checkpoint: str, quiet_
     spark = listings.sparkSession
 
     def poll(batch: DataFrame, batch_id: int) -> None:
+        before = None
+        if batch_id:
+            before = spark.read.schema("rel string, mtime double, digest string, size long").parquet(f"{snapshot}/v{batch_id - 1}")
         last = batch.agg(F.max("poll_id")).first()[0]
-        if last is None:
-            return
         now = batch.where(F.col("poll_id") == last).select("rel", "mtime", "digest", "size")
-        old = f"{snapshot}/v{batch_id - 1}"
-        try:
-            before = spark.read.parquet(old)
-        except Exception as e:  # the first poll has no snapshot
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = now.limit(0)
-        on_change(between(before, now), batch_id)
+        if last is None:  # no listing arrived: what was known stays
+            now = before if before is not None else now
+        elif before is not None:
+            on_change(between(before, now), batch_id)
+        else:
+            on_change(between(now.limit(0), now), batch_id)
         now.write.mode("overwrite").parquet(f"{snapshot}/v{batch_id}")
 
     return listings.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint).trigger(processingTime=f"{quiet_seconds} seconds")

@@ -114,3 +114,22 @@ def test_changes(spark):
     a = spark.createDataFrame([("kept", 1.0, "x"), ("touched", 1.0, "x"), ("new_text", 1.0, "x"), ("gone", 1.0, "x")], s)
     b = spark.createDataFrame([("kept", 1.0, "x"), ("touched", 2.0, "x"), ("new_text", 2.0, "y"), ("made", 2.0, "x")], s)
     assert sorted(tuple(r) for r in changes.between(a, b).collect()) == [("gone", "deleted"), ("made", "created"), ("new_text", "modified")]
+
+
+def test_watch(spark, tmp_path):
+    """Polls as files of a directory stream: create, change, touch without change, delete."""
+    import json
+
+    polls = tmp_path / "polls"
+    polls.mkdir()
+    seen = {}
+    listings = spark.readStream.schema(changes.LISTING).option("maxFilesPerTrigger", 1).json(str(polls))
+    q = changes.watch(listings, str(tmp_path / "snap"), lambda df, i: seen.update({i: sorted(tuple(r) for r in df.collect())}), str(tmp_path / "ck"), 0.1).start()
+    try:
+        for i, rows in enumerate([[("a", 1.0, "x"), ("b", 1.0, "x")], [("a", 2.0, "y"), ("b", 2.0, "x")], [("b", 2.0, "x"), ("c", 3.0, "z")]]):
+            (polls / f"{i}.json.tmp").write_text("\n".join(json.dumps({"poll_id": i, "rel": r, "mtime": m, "digest": d, "size": 1}) for r, m, d in rows))
+            (polls / f"{i}.json.tmp").rename(polls / f"{i}.json")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    assert list(seen.values()) == [[("a", "created"), ("b", "created")], [("a", "modified")], [("a", "deleted"), ("c", "created")]]
