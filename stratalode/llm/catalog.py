@@ -7,6 +7,7 @@ from .fingerprints import op1_document_fingerprints
 from .importance import op8_importance_resampling
 from .katz import op4_lm_scoring
 from .language import op7_language_id
+from .oracles import DECONTAMINATION, REPEATS
 from .pieces import op2_sentencepiece
 from .private_data import op10_private_data
 from .repeats import op6_substring_dedup
@@ -20,4 +21,4 @@ QUERIES = {
         op7_language_id, op8_importance_resampling, op9_simhash_near_dedup, op10_private_data,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_benchmark_decontamination": DECONTAMINATION, "op6_substring_dedup": REPEATS}

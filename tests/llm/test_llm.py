@@ -244,3 +244,18 @@ def test_pipeline(spark):
     kept = docs.where(F.col("doc_id").isin([i for i in left if i not in copies]))
     bad = {r.doc_id for r in decontaminate.decontaminate(kept, table(spark, D, "benchmark")).collect() if r.contaminated}
     assert sorted(r.doc_id for r in out) == sorted(set(left) - copies - bad)
+
+
+@pytest.mark.parametrize("name", ["op3_benchmark_decontamination", "op6_substring_dedup"])
+def test_oracle(spark, name):
+    import duckdb
+
+    from stratalode.llm import catalog
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
+    ours, theirs = catalog.QUERIES[name](spark, D).toPandas(), c.sql(catalog.ORACLES[name]).df()
+    cols = sorted(ours.columns)
+    assert cols == sorted(theirs.columns)
+    assert sorted(map(repr, ours[cols].astype(object).values.tolist())) == sorted(map(repr, theirs[cols].astype(object).values.tolist()))
