@@ -8,6 +8,7 @@ list down to row groups and pages.
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ FORMAT = {
     "parquet.writer.version": "PARQUET_2_0", "parquet.dictionary.page.size": str(1 << 20), "parquet.page.row.count.limit": "1000",
 }
 #: Encoded words that a worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 _tokenizers: dict = {}
 
@@ -45,8 +46,10 @@ class Encoder:
         new = list(set().union(*words) - self.known.keys())
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for w, e in zip(part, self.of.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            got = [e.ids for e in self.of.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(got), "<u4").tobytes()
+            ends = [4 * x for x in accumulate(map(len, got))]
+            self.known.update(zip(part, [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
