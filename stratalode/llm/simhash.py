@@ -131,6 +131,15 @@ def op9_simhash_near_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    gone = stored(near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")), "copies")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti").dropDuplicates(["doc_id", "text"])
+    """Keeps one document of each group of near copies: five-word shingles with Jaccard similarity 0.8 or more, linked.
+
+    That is the row with the smallest doc_id (null last), then text hash. Rows are told apart by doc_id and text.
+    """
+    from .jaccard import near_copies
+
+    rows = stored(near_copies(docs), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    many = rows.groupBy("grp").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = rows.join(many, "grp").where(rank != F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    gone = stored(gone, "copies")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__key")), "left_anti").dropDuplicates(["doc_id", "text"])
