@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import code, corpus, registry, star
+from .plans import code, corpus, registry, star, whole
 
-MODULES = (code, corpus, star)
+MODULES = (code, corpus, star, whole)
 QUERIES, ORACLES, FLAGSHIP = registry.QUERIES, registry.ORACLES, registry.FLAGSHIP
