@@ -76,3 +76,11 @@ def quality_gate_all(spark, d):
  select high, medium, low, security, coalesce(minutes, 0)::bigint as minutes, score, blockers, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade, case when blockers = 0 and score >= 60 then 'GO' else 'NO-GO' end as decision from s""")
 def project_review_all(spark, d):
     return rollups.review(view_findings(spark, d))
+
+
+@query(f"""with e as materialized (select src, dst from {TRADE_ALL} where src <> dst), p2 as (select src as first, dst as last, [src, dst] as path from e where src < dst),
+ p3 as (select first, dst as last, list_append(path, dst) as path from p2 join e on last = src where dst > first and not list_contains(path, dst)),
+ p4 as (select first, dst as last, list_append(path, dst) as path from p3 join e on last = src where dst > first and not list_contains(path, dst))
+ select array_to_string(path, '>') as path, len(path)::int as length from (from p2 union all from p3 union all from p4) semi join e on last = src and first = dst""")
+def cycles_len_le_4(spark, d):
+    return relational.cycles(trade_all(spark, d)).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")

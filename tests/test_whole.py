@@ -49,3 +49,22 @@ def test_findings_and_lines_are_all_counted(spark):
     assert (review.high, review.medium, review.low) == (n["HIGH"], n["MEDIUM"], n["LOW"])
     at = {(r.doc_id, r.line) for r in run(spark, "fingerprint_all")}
     assert {(i, k + 1) for i, t in load("documents", "doc_id", "text") for k, x in enumerate((t or "").split("\n")) if x.strip() and not x.strip().startswith(("#", "//"))} <= at
+
+
+def test_cycles_of_four(spark):
+    e = edges()
+    to = {a: {b for x, b in e if x == a} for a, _ in e}
+    want = []
+
+    def grow(path):
+        if len(path) > 1 and path[0] in to.get(path[-1], ()):
+            want.append((">".join(map(str, path)), len(path)))
+        if len(path) < 4:
+            for b in to.get(path[-1], ()):
+                if b > path[0] and b not in path:
+                    grow([*path, b])
+
+    for a in to:
+        grow([a])
+    assert max(n for _, n in want) == 4
+    assert sorted((r.path, r.length) for r in run(spark, "cycles_len_le_4")) == sorted(want)
