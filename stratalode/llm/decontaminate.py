@@ -109,6 +109,7 @@ def op3_benchmark_decontamination(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Drops the documents that hold a window of a benchmark item."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__bad"))
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # the text alone decides; ids may be null or repeated
+    bad = decontaminate(texts, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
     bad = stored(bad, "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, F.xxhash64("text") == F.col("__bad"), "left_anti")

@@ -152,8 +152,9 @@ def op7_language_id(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Drops the documents whose language can't be told. `lang` is what they declare, `source` their host."""
-    rows = docs.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
-    got = identify(rows, fit(docs), "doc_id")
-    bad = stored(got.where("lang is null").select(F.col("doc_id").alias("__bad")), "refused")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
-
+    row = F.struct("doc_id", F.xxhash64("text").alias("key"), "lang", "source")  # ids may be null or repeated
+    rows = docs.select(row.alias("row"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    got = identify(rows, fit(docs), "row")
+    bad = stored(got.where("lang is null").select(*[F.col(f"row.{c}").alias(f"__{c}") for c in ("doc_id", "key", "lang", "source")]).distinct(), "refused")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("doc_id", "lang", "source")]
+    return docs.join(bad, (F.xxhash64("text") == F.col("__key")) & same[0] & same[1] & same[2], "left_anti")
