@@ -35,12 +35,16 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 GENERATORS = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}[ ]?(?:\[at\]|\(at\)|\bat\b)[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\[dot\]|\(dot\)|\bdot\b)[ ]?[A-Za-z0-9-]+)+", re.I),
+    # local parts and keys have no upper length: a run is taken whole, and only `at` inside a run needs steps back
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*+(?:[ ]?(?:\[at\]|\(at\))|[ ]at\b)|[A-Za-z0-9._%+-]*\bat\b)[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\[dot\]|\(dot\)|\bdot\b)[ ]?[A-Za-z0-9-]+)+", re.I),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_-][0-9]{4}){2,3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "identity": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,128}(?![A-Za-z0-9_/+-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+"),
 }
+#: Runs of digit groups with single separators; the national numbers of a run begin at its start, a bracket or a leading 0.
+GROUPS = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]++\)?(?:(?: ?[/.-] ?| )\(?[0-9]++\)?)*+")
+GROUP = re.compile(r"\(?([0-9]+)\)?")
 #: Cheap tests that a text must pass for a pattern to be able to match in it.
 NEEDS = {"email": re.compile(r"(?i)\bat\b|\[at\]|\(at\)"), "digit": re.compile("[0-9]"), "secret": re.compile(r"[A-Za-z0-9_/+-]{20}")}
 CUES = {
@@ -87,12 +91,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def national(text: str):
+    """Spans of 7 to 15 digits in whole groups that a phone number without country code may have, in linear time."""
+    for run in GROUPS.finditer(text):
+        groups = [(m.start(), m.end(), len(m[1]), m[0][0] in "(0") for m in GROUP.finditer(text, *run.span())]
+        for i, (a, _, _, starts) in enumerate(groups):
+            n = 0
+            for _, b, digits, _ in groups[i:] if starts or i == 0 else ():
+                n += digits
+                if n > 15:
+                    break
+                if n >= 7 and (b - a > n or starts):
+                    yield a, b
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Candidates of all generators; they may overlap."""
     kinds = [k for k, ok in (("email", NEEDS["email"]), ("secret", NEEDS["secret"])) if ok.search(text)]
     if NEEDS["digit"].search(text):
         kinds += ["card", "phone", "identity"]
-    return [(k, *m.span()) for k in kinds for m in GENERATORS[k].finditer(text)]
+    out = [(k, *m.span()) for k in kinds for m in GENERATORS[k].finditer(text)]
+    if "phone" in kinds:
+        have = set(out)
+        out += [c for a, b in national(text) if (c := ("phone", a, b)) not in have]
+    return out
 
 
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -155,6 +177,21 @@ class Boosted:
         return self.bias + sum(self._values(t, x) for t in self.trees)
 
 
+class ByKind:
+    """Trees for each kind (the first feature) alone, so look-alikes of one kind don't refuse candidates of another."""
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> ByKind:
+        self.of = {k: Boosted().fit(x[x[:, 0] == k], y[x[:, 0] == k]) for k in np.unique(x[:, 0])}
+        return self
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), -50.0)
+        for k, trees in self.of.items():
+            if (own := x[:, 0] == k).any():
+                out[own] = trees.score(x[own])
+        return out
+
+
 def labelled(n: int, seed: int) -> tuple[list[list[float]], list[int], list[str]]:
     """Synthetic candidates in filler text: true ones, and look-alikes from prose, code and tables. n bounds them."""
     r = random.Random(seed)
@@ -171,7 +208,7 @@ def labelled(n: int, seed: int) -> tuple[list[list[float]], list[int], list[str]
         text = f"{' '.join(word() for _ in range(r.randint(0, 5)))} {cue}{s}{r.choice(['', '.', ',', ' ' + word(), '!'])} {word()} {word()}"
         for k, a, b in proposals(text):
             if k == kind:
-                inside = text.find(s) <= a + 1 and b <= text.find(s) + len(s) + 1
+                inside = text.find(s) <= a + 1 and b <= text.find(s) + len(s) + 1 and (kind != "phone" or b - a >= len(s) - 1)
                 x.append(features(text, k, a, b))
                 y.append(int(good and inside))
                 kinds.append(k)
@@ -187,10 +224,16 @@ def labelled(n: int, seed: int) -> tuple[list[list[float]], list[int], list[str]
         tel = f"{r.choice('23456789')}{num(2)}{sep}{r.choice('23456789')}{num(2)}{sep}{num(4)}"
         add("phone", r.choice([tel, f"({tel[:3]}) {tel[4:]}"]), True, r.choice(["tel ", "phone: ", "call ", ""]))
         add("phone", f"{num(3)} {num(3)} {num(4)}", False, f"{num(4)} {num(4)} ")
+        tel = r.choice([
+            f"0{num(r.randint(2, 4))}{r.choice([' ', '/', '-', ' / '])}{num(r.randint(5, 8))}", f"(0{num(r.randint(2, 4))}) {num(r.randint(3, 4))} {num(r.randint(2, 4))}", f"01{num(8)}",
+            r.choice(" .").join([f"0{r.choice('123456789')}", *(num(2) for _ in range(4))]), f"{r.choice('6789')}{num(2)} {num(3)} {num(3)}", f"{r.choice('6789')}{num(2)} {num(2)} {num(2)} {num(2)}",
+        ])
+        add("phone", tel, True, r.choice(["tel ", "Tel.: ", "Telefon ", "phone: ", "mobil ", ""]))
+        add("phone", r.choice([f"{r.choice(['19', '20'])}{num(2)}-{r.choice(['0', '1'])}{num(1)}-{num(2)}", f"{num(2)}.{num(2)}.{r.choice(['19', '20'])}{num(2)}", f"{num(1)} {num(3)} {num(3)}", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{num(4)}-{num(4)}", " ".join(num(r.randint(1, 3)) for _ in range(7))]), False, r.choice(["", "", "on ", "no "]))
         add("identity", f"{r.choice('12345678')}{num(2)}-{num(2)}-{num(4)}", True, r.choice(["ssn ", "id: ", "social ", ""]))
         add("identity", f"{r.choice(['000', '666', '9' + num(2)])}-{num(2)}-{num(4)}", False, r.choice(["part ", "no ", ""]))
         add("identity", f"{r.choice(['DE', 'FR', 'ES'])}{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}", True, r.choice(["iban ", "account ", ""]))
-        k = r.randint(24, 48)
+        k = r.randint(24, 48) if r.random() < 0.7 else r.randint(49, 600)
         key = "".join(r.choice(r.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])) for _ in range(k))
         hexa = "".join(r.choice("0123456789abcdef") for _ in range(k))
         add("secret", r.choice([key, hexa]), True, r.choice(['token = "', "key: ", 'secret = "', "auth ", ""]))
@@ -207,7 +250,7 @@ class Model:
 
     def __init__(self, rows: int = 6000, precision: float = 0.98, seed: int = 11):
         x, y, _ = labelled(rows, seed)
-        self.trees = Boosted().fit(np.array(x), np.array(y, float))
+        self.trees = ByKind().fit(np.array(x), np.array(y, float))
         x, y, kinds = labelled(rows // 2, seed + 1)
         raw, y, kinds = self.trees.score(np.array(x)), np.array(y), np.array(kinds)
         self.a, self.b = self._platt(raw, y)
