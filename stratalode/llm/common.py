@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,3 +68,58 @@ def split_words(text: Column, separators: str) -> Column:
 def broadcast_within(df: DataFrame, rows: int, most: int = 2_000_000) -> tuple[DataFrame, bool]:
     """df with a broadcast hint if its counted rows are within the bound, and whether they are."""
     return (F.broadcast(df), True) if rows <= most else (df, False)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the bytes of df."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_for(df: DataFrame, each: int, few: int) -> int:
+    """How many parts to deal df to, by its bytes: one for every `each`, but of few bytes as many as there are shuffle partitions, up to `few`."""
+    return max(-(-plan_bytes(df) // each), min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), few), 1)
+
+
+def by_part(df: DataFrame, n: int) -> GroupedData:
+    """df dealt by `part`, one of even_keys(n), each to a partition of its own."""
+    return df.repartition(n, "part").groupBy("part")
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """df if a task that runs again gets its rows in the same order, as from files; otherwise written first."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    again = not any(x in plan for x in ("Join", "Aggregate", "Repartition", "Rebalance", "Sort", "Window", "Limit", "Sample"))
+    return df if again else stored(df, "rows")
+
+
+@functools.cache
+def even_keys(n: int) -> np.ndarray:
+    """n integers, the i-th of which Spark's hash partitioning into n puts into partition i, so that no partition gets two parts and none gets no part."""
+    out, have, at = np.full(n, -1, np.int64), 0, 0
+    rotate = lambda x, k: (x << np.uint32(k)) | (x >> np.uint32(32 - k))
+    while have < n:
+        x = np.arange(at, at + 16 * n, dtype=np.uint32)
+        h = rotate(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)  # Murmur3 of one int, seed 42
+        h = rotate(h ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+        where, first = np.unique((h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n, return_index=True)
+        new = out[where] < 0
+        out[where[new]] = x[first[new]]
+        have += int(new.sum())
+        at += 16 * n
+    return out
+
+
+def even_key(part: Column, n: int) -> Column:
+    """even_keys(n) of a column of parts."""
+    return F.get(F.from_json(F.lit(str(even_keys(n).tolist())), "array<int>"), part)
+
+
+def repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Every row as many times as its column `times` says, and without that column. Two steps, so that no array gets longer than the root of the count."""
+    step = F.ceil(F.sqrt(F.col(times))).cast("int")
+    df = df.withColumn("__of", F.explode(F.sequence(F.lit(0), F.ceil(F.col(times) / step).cast("int") - 1)))
+    rest = F.least(step.cast("long"), F.col(times) - F.col("__of") * step).cast("int")
+    return df.withColumn("__in", F.explode(F.sequence(F.lit(1), rest))).drop("__of", "__in", times)
