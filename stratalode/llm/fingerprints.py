@@ -1,25 +1,27 @@
 """I-Match document fingerprints.
 
-A term is kept if its document frequency lies in a band. The sorted distinct kept terms of a
-document are hashed once per randomised lexicon subset. The subsets form 32 chains; in each chain
-every subset holds a random half of the terms of the one before it, and a document is hashed
-through the smallest subset of the chain that still holds one of its terms. Long and short
-documents so get signatures over a few terms each, and an edit to part of a text leaves
-the signatures that hold none of the edited terms unchanged.
+A term is kept if its document frequency lies in a band; the band is held exactly. A document's sorted distinct
+kept terms are hashed once as they are and once through each of several fixed randomised subsets of the lexicon:
+every signature covers all kept terms of the document that the subset has. The subsets, the same for all documents, have
+halving densities, from every second term to one in 2**LEVELS, each density CHAINS times over with
+other terms. Dense subsets tell exact copies, sparse ones leave long documents few terms each, so that an edit to
+part of a text leaves the signatures that hold none of the edited terms unchanged.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NON_WORD, ascii_lower, split_words, table
+from .common import NON_WORD, ascii_lower, even_key, parts_for, split_words, table
 
-CHAIN_BITS = 5
-REST = 64 - CHAIN_BITS
-#: Bits of the map that tells which hashed terms are in the band, six to a byte.
-MAP_BITS = 6 << 19
+CHAINS, LEVELS = 5, 12
+#: Bytes of input that a block of neighbouring documents stands for at most.
+BLOCK_BYTES = 16 << 20
 
 
 def term_hashes(text: Column) -> Column:
@@ -27,102 +29,124 @@ def term_hashes(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def lexicon(docs: DataFrame, most_share: float = 0.1, least_share: float = 0.001, least: int = 2) -> bytes:
-    """The band's terms as a bit map over hashed terms.
+def lexicon(docs: DataFrame, most_share: float = 0.1, least_share: float = 0.001, least: int = 2) -> list[int]:
+    """Hashes of the band's terms: those of least_share to most_share of the documents.
 
-    least_share bounds the terms in the band, however large the corpus: document frequencies add
-    up to documents times mean distinct terms, so at most mean / least_share terms can reach it.
-    The map's size is fixed. Two terms may share a bit, which admits some terms from outside the
-    band (the same ones for every document), never drops one inside it.
+    least_share bounds them, however large the corpus: document frequencies add up to documents times
+    mean distinct terms, so at most mean / least_share terms can reach it.
     """
     n = docs.count()
     seen = docs.select(F.explode_outer(F.array_distinct(split_words(ascii_lower(F.col("text")), NON_WORD))).alias("w"))
     df = seen.where("w is not null").groupBy(F.xxhash64("w").alias("h")).count()
     band = df.where((F.col("count") >= max(least, n * least_share)) & (F.col("count") <= max(least, n * most_share)))
-    cells = band.groupBy(F.expr(f"cast(pmod(h, {MAP_BITS}) div 6 as int)").alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(h, {MAP_BITS}) % 6 as int))")).alias("b"))
-    out = bytearray(b"\x40" * (MAP_BITS // 6))
-    for r in cells.toLocalIterator():
-        out[r.i] |= r.b
-    return bytes(out)
+    return sorted(r.h for r in band.select("h").toLocalIterator())
+
+
+def in_band(terms: Column, band: list[int]) -> Column:
+    """The terms that are in the band, which is a literal table of cells of about two hashes."""
+    cells: list[list[int]] = [[] for _ in range(1 << max(0, (len(band) // 2).bit_length()))]
+    for h in band:
+        cells[h & (len(cells) - 1)].append(h)
+    lookup = F.from_json(F.lit(json.dumps(cells)), "array<array<bigint>>")
+    return F.filter(terms, lambda h: F.array_contains(F.get(lookup, h.bitwiseAND(F.lit(len(cells) - 1)).cast("int")), h))
 
 
-def in_band(terms: Column, band: bytes) -> Column:
-    cells = F.lit(bytearray(band))
+def sign(terms: Column) -> Column:
+    """32 bits over all the terms; null if there are none."""
+    return F.when(F.size(terms) > 0, F.pmod(F.xxhash64(terms), F.lit(1 << 32)))
 
-    def kept(h: Column) -> Column:
-        bit = F.pmod(h, F.lit(MAP_BITS))
-        cell = F.ascii(F.substring(cells, (F.floor(bit / 6) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.getbit(cell.cast("long"), (bit % 6).cast("int")) == 1
 
-    return F.filter(terms, kept)
+def signatures(terms: Column) -> Column:
+    """A signature of the sorted terms for each subset: all, then LEVELS ever sparser ones in each of the chains. Bits of a term's hash say which have it."""
 
+    def chain(at: int) -> Column:
+        start = F.struct(F.filter(terms, lambda h: F.getbit(h, F.lit(at)) == 0).alias("left"), F.array().cast("array<bigint>").alias("signs"))
 
-def signatures(terms: str) -> str:
-    """SQL for the signatures of a column of sorted term hashes, each with its chain in the top bits."""
-    ends = f"filter(sequence(1, size({terms})), i -> i = size({terms}) or shiftrightunsigned(get({terms}, i), {REST}) != shiftrightunsigned(get({terms}, i - 1), {REST}))"
-    ends = f"if(size({terms}) = 0, cast(array() as array<int>), {ends})"
-    free = f"length(bin(~{{t}} & {(1 << REST) - 1}L))"
-    least = f"shiftleft(shiftright({{t}}, {free}), {free})"
-    t = f"get({terms}, e - 1)"
-    part = f"slice({terms}, if(j = 0, 0, get(x, j - 1)) + 1, e - if(j = 0, 0, get(x, j - 1)))"
-    one = f"(({t} & {-(1 << REST)}L) | (xxhash64(filter({part}, h -> h >= {least.format(t=t)})) & {(1 << REST) - 1}L))"
-    return f"flatten(transform(array({ends}), x -> transform(x, (e, j) -> {one})))"
+        def thinner(s: Column, i: Column) -> Column:
+            left = F.filter(s["left"], lambda h: F.getbit(h, F.least(F.lit(at) + i, F.lit(63))) == 0)
+            return F.struct(left.alias("left"), F.array_append(s["signs"], sign(s["left"])).alias("signs"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, thinner, lambda s: s["signs"])
+
+    return F.concat(F.array(sign(terms)), *[chain(LEVELS * j) for j in range(CHAINS)])
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the chains in use by either document whose signatures agree; 1 if neither has a term."""
-    chains = F.size(F.array_union(*(F.transform(F.col(c), lambda s: F.shiftrightunsigned(s, REST)) for c in (a, b))))
-    return F.when(chains == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / chains)
+    """Share of the subsets in use by either document whose signatures agree; 1 if neither has a term."""
+    used = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x, y)), lambda x: x.isNotNull()))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when(used == 0, F.lit(1.0)).otherwise(same / used)
 
 
-def add_fingerprint(df: DataFrame, text: str, band: bytes, to: str) -> DataFrame:
+def add_fingerprint(df: DataFrame, text: str, band: list[int], to: str) -> DataFrame:
     """Adds the array of signatures of a text column. Documents with no term in the band are hashed over all their terms."""
     every, kept = f"__all_{to}", f"__band_{to}"
     df = df.withColumn(every, term_hashes(F.col(text))).withColumn(kept, in_band(F.col(every), band))
     df = df.withColumn(kept, F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(every)))
-    return df.withColumn(to, F.expr(signatures(kept))).drop(every, kept)
+    return df.withColumn(to, signatures(F.col(kept))).drop(every, kept)
 
 
 def as_text(signs: str) -> Column:
-    return F.array_join(F.transform(F.col(signs), lambda s: F.lpad(F.lower(F.hex(s)), 16, "0")), "")
+    """Eight hexadecimal digits a signature, dashes for a subset without terms."""
+    return F.array_join(F.transform(F.col(signs), lambda s: F.coalesce(F.lpad(F.lower(F.hex(s)), 8, "0"), F.lit("-" * 8))), "")
+
+
+def _long_list(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def block_of(cuts: list[int], sizes: list[int]) -> Column:
+    """The block of a row of doc_id, key: how many cuts are at or below its doc_id, found in two steps. A block of which sizes has
+    more than one is split by key; the first is that of rows without doc_id."""
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda some: F.size(F.filter(some, lambda c: c <= F.col("doc_id")))
+    if cuts:
+        group = below(_long_list([g[0] for g in groups], "array<bigint>"))
+        inside = F.when(group == 0, 0).otherwise((group - 1) * step + below(F.get(_long_list(groups, "array<array<bigint>>"), F.greatest(group - 1, F.lit(0)))))
+    else:
+        inside = F.lit(0)
+    block = F.when(F.col("doc_id").isNull(), 0).otherwise(inside + 1)
+    at = F.get(_long_list([0, *accumulate(sizes)], "array<int>"), block)
+    return (at + F.shiftright(F.shiftright("key", 32) * F.get(_long_list(sizes, "array<int>"), block), 31)).cast("int")
 
 
 def with_next(docs: DataFrame, blocks: int) -> tuple[DataFrame, Window]:
-    """doc_id, text and block, each block also holding the row that follows its last one, marked `guest`.
+    """doc_id, text, key (hash of the text) and part, each part also holding the row that follows its last one, marked `guest`.
 
-    Blocks are ranges of doc_id with ends at its quantiles, so no task sees more than a range and
-    lead() finds every next row within its block. Rows without doc_id come first.
+    Parts are ranges of doc_id with ends at its quantiles. A doc_id that fills more than one range, and rows without
+    doc_id, which come first, are split by key. So lead() finds every next row within its part, and no task sees more than a range.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] or []
-    cuts = sorted(set(cuts))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))))
-    placed = docs.withColumn("block", block)
-    firsts = sorted(placed.select("doc_id", "block").groupBy("block").agg(F.min("doc_id").alias("f")).collect(), key=lambda r: r.block)  # one row a block
-    if not firsts:
-        return placed.withColumn("guest", F.lit(0)), Window.partitionBy("block").orderBy("guest")
-    before = {r.f: firsts[i - 1].block for i, r in enumerate(firsts)}
-    ids = [f for f in before if f is not None]
-    wanted = F.col("doc_id").isin(ids) if ids else F.lit(False)
-    if None in before:
-        wanted = wanted | F.col("doc_id").isNull()
-    guests = docs.where(wanted).groupBy("doc_id").agg(F.min("text").alias("text"))
-    to = F.lit(None).cast("int")
-    for f, b in before.items():
-        to = F.when(F.col("doc_id").eqNullSafe(F.lit(f)), F.lit(b)).otherwise(to)
-    both = placed.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("block", to).withColumn("guest", F.lit(1)))
-    return both, Window.partitionBy("block").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-
-
-def fingerprint_edits(docs: DataFrame, blocks: int | None = None, band: bytes | None = None) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    shares = [i / blocks for i in range(1, blocks)] or [0.5]
+    ends, n, known = docs.select(F.percentile_approx("doc_id", shares, 20 * blocks), F.count(F.lit(1)), F.count("doc_id")).first()
+    ends = (ends or []) if blocks > 1 else []
+    often = {e: ends.count(e) for e, f in zip(ends, ends[1:], strict=False) if e == f}  # such a doc_id has a block of its own
+    cuts = sorted({*ends, *(e + 1 for e in often)})
+    sizes = [max(1, -(-(n - known) * blocks // max(n, 1))), 1, *(often.get(c, 0) + 1 for c in cuts)]
+    total = sum(sizes)
+    placed = docs.withColumn("block", block_of(cuts, sizes))
+    firsts = sorted((r.block, r.f.doc_id, r.f.key) for r in placed.groupBy("block").agg(F.min(F.struct("doc_id", "key")).alias("f")).collect())  # one row a block
+    order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "key")
+    own = placed.withColumn("guest", F.lit(0))
+    if firsts:
+        follow = [{"d": d, "k": k, "block": firsts[i - 1][0]} for i, (_, d, k) in enumerate(firsts)]
+        heads = docs.sparkSession.range(1).select(F.inline(_long_list(follow, "array<struct<d:bigint,k:bigint,block:int>>")))
+        guests = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))  # as many rows as blocks
+        guests = guests.dropDuplicates(["block"]).select("doc_id", "text", "key", "block", F.lit(1).alias("guest"))
+        own = own.unionByName(guests)
+    return own.withColumn("part", even_key(F.col("block"), total)).repartition(total, "part"), order
+
+
+def fingerprint_edits(docs: DataFrame, blocks: int | None = None, band: list[int] | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last quarter replaced by the start of the next document.
 
-    A null text counts as empty. Rows with one doc_id are taken in order of their texts; rows
-    without doc_id come first; the row after the last is the first. No rows: no rows.
-    Other columns of docs, whatever their names, are ignored.
+    One row for each row of docs. A null text counts as empty. Rows with one doc_id are taken in order of their texts'
+    hashes, repeated rows one after another; rows without doc_id come first; the row after the last is the first. Texts of any
+    length are whole. No rows: no rows. Other columns of docs, whatever their names, are ignored.
     """
-    spark = docs.sparkSession
-    blocks = blocks or min(512, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks or parts_for(docs, BLOCK_BYTES, 512)
     docs = docs.select("doc_id", "text")
     band = band if band is not None else lexicon(docs)
     both, order = with_next(docs, blocks)
@@ -132,15 +156,13 @@ def fingerprint_edits(docs: DataFrame, blocks: int | None = None, band: bytes |
     df = df.drop("next_text")
     df = add_fingerprint(df, "text", band, "own")
     df = add_fingerprint(df, "edited", band, "after")
-    df = df.select("doc_id", "block", "guest", "text", "n_chars", "own", "after", F.sha2("edited", 256).alias("edited_sha256"))
+    df = df.select("doc_id", "part", "guest", "key", "n_chars", "own", "after", F.sha2("edited", 256).alias("edited_sha256"))
     df = df.withColumn("next_own", F.lead("own").over(order)).where("guest = 0")
     return df.select(
         "doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("after").alias("edited_fingerprint"),
         likeness("own", "after").alias("near_edited"), likeness("own", "next_own").alias("near_next"),
-    )
+    )
 
 
 def op1_document_fingerprints(spark, sf_dir):
     return fingerprint_edits(table(spark, sf_dir, "documents"))
-
-
