@@ -5,22 +5,36 @@ are in the corpus. A window must occur whole, so one shingle, its rarest, is a s
 documents are joined on those shingles alone. The shingle's offset in its window then fixes where
 the window would begin in the document (positional bound) and end (length bound), and the words
 there are compared with the window's one by one.
+
+Windows are broadcast, at most MOST at a time: a larger benchmark is taken in slices, each a pass over the
+texts, so what is broadcast has one bound at every size and texts are never shuffled. Whether and what a text
+holds depends on the text alone, so rows are told apart by two hashes of it, never by doc_id.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, ascii_lower, broadcast_within, split_words, stored, table
+from .common import NON_WORD, ascii_lower, split_words, stored, table
 
 SHINGLE = 3
+NON_WORD_CASED = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Windows that are broadcast together.
+MOST = 1_000_000
+KEY = ["k1", "k2"]
 
 
 def text_words(text: Column) -> Column:
     return split_words(ascii_lower(text), NON_WORD)
 
 
+def text_keys(text: str = "text") -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def shingle_at(words: str, at: Column, size: int) -> Column:
     """Hash of the `size` words from 0-based position `at`."""
     return F.xxhash64(*[F.get(F.col(words), at + i) for i in range(size)])
@@ -32,74 +46,79 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     n = F.least(F.size("words"), F.lit(width))
     cut = words.withColumn("length", n).select("item_id", "length", "words", F.explode(F.sequence(F.lit(1), F.size("words") - n + 1)).alias("s"))
     cut = cut.select("item_id", F.col("length").cast("int"), F.slice("words", F.col("s"), F.col("length")).alias("need"))
-    return cut.groupBy(F.array_join("need", " ").alias("window")).agg(F.first("need").alias("need"), F.first("length").alias("length"), F.collect_set("item_id").alias("items"))
-
-
-def positions(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, words, pos and shingle hash for every position of every document."""
-    words = docs.select("doc_id", text_words(F.col("text")).alias("words"))
-    at = words.select("doc_id", "words", F.posexplode_outer("words").alias("pos", "w"))  # _outer: an inferred filter would split each text twice
-    return at.where(F.col("pos") <= F.size("words") - size).select("doc_id", "words", "pos", shingle_at("words", F.col("pos"), size).alias("shingle"))
-
-
-def hits(docs: DataFrame, windows: DataFrame, n_windows: int) -> DataFrame:
-    """doc_id, window, start, length of every occurrence of a window."""
-    out = None
-    sizes = [r[0] for r in windows.select(F.least(F.col("length"), F.lit(SHINGLE)).alias("k")).distinct().collect()]  # 1 to SHINGLE
-    for k in sorted(sizes):
-        own = windows.where(F.least(F.col("length"), F.lit(SHINGLE)) == k)
-        own = own.select("window", "need", "length", F.explode(F.sequence(F.lit(0), F.col("length") - k)).alias("offset"))
-        own = own.withColumn("shingle", shingle_at("need", F.col("offset"), k))
-        tokens, small = broadcast_within(own.select("shingle").distinct(), n_windows * 8)
-        seen = positions(docs, k).select("shingle").join(tokens, "shingle").groupBy("shingle").count()
-        ranked = own.join(seen, "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-        prefix = ranked.groupBy("window").agg(F.min_by(F.struct("shingle", "offset", "need", "length"), F.struct("count", "shingle", "offset")).alias("p"), F.min("count").alias("least"))
-        prefix = prefix.where("least > 0").select("window", "p.*")
-        prefix, small = broadcast_within(prefix, n_windows)
-        at = positions(docs, k)
-        start = F.col("pos") - F.col("offset")
-        if small:
-            got = at.join(prefix, "shingle").where((start >= 0) & (start + F.col("length") <= F.size("words")))
-            got = got.where(F.slice("words", start + 1, F.col("length")) == F.col("need"))
-        else:  # both sides are dealt by shingle, so positions take only the words that a window around them could cover
-            reach = windows.agg(F.max("length")).first()[0]
-            low = F.greatest(F.col("pos") - reach, F.lit(0))
-            near = at.select("doc_id", "pos", "shingle", (F.col("pos") - low).alias("before"), F.slice("words", low + 1, F.lit(2 * reach)).alias("near"))
-            first = F.col("before") - F.col("offset")
-            got = near.join(prefix, "shingle").where((first >= 0) & (first + F.col("length") <= F.size("near")))
-            got = got.where(F.slice("near", first + 1, F.col("length")) == F.col("need"))
-        got = got.select("doc_id", "window", start.alias("start"), "length")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """For each document: n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated, item_ids.
-
-    A null or wordless text has no hits. doc_id is the key: identical repeated rows give one result
-    row each, the same for all. Items without words are never found. Other columns are ignored.
-    """
-    docs = docs.select("doc_id", "text")
+    window = F.array_join("need", " ").alias("window")
+    return cut.groupBy(window).agg(F.first("need").alias("need"), F.first("length").alias("length"), F.collect_set("item_id").alias("items"))
+
+
+def positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """Keys, words, pos and hash of the shingles of each size at every position of every text."""
+    words = docs.select(*KEY, text_words(F.col("text")).alias("words"))
+    at = words.select(*KEY, "words", F.posexplode_outer("words").alias("pos", "w"))  # _outer: an inferred filter would split each text twice
+    fits = lambda k: F.col("pos") <= F.size("words") - k
+    if len(sizes) == 1:
+        return at.where(fits(sizes[0])).select(*KEY, "words", "pos", shingle_at("words", F.col("pos"), sizes[0]).alias("shingle"))
+    every = F.array(*[F.when(fits(k), shingle_at("words", F.col("pos"), k)) for k in sizes])
+    # no array_compact: without generated code, each row would take a copy of all the text's words before the join drops it
+    return at.select(*KEY, "words", "pos", F.explode_outer(every).alias("shingle")).where("shingle is not null")
+
+
+def hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Keys, window, start, length of every occurrence of a window of docs (KEY, text)."""
+    k = F.least(F.col("length"), F.lit(SHINGLE))
+    sizes = sorted(r[0] for r in windows.select(k.alias("k")).distinct().collect())  # 1 to SHINGLE
+    at = windows.select("window", "need", "length", k.alias("k"), F.explode(F.sequence(F.lit(0), F.col("length") - k)).alias("offset"))
+    shingle = reduce(lambda x, i: F.when(F.col("k") == i, shingle_at("need", F.col("offset"), i)).otherwise(x), sizes, F.lit(None).cast("long"))
+    at = at.withColumn("shingle", shingle)
+    seen = positions(docs, sizes).select("shingle").join(F.broadcast(at.select("shingle").distinct()), "shingle").groupBy("shingle").count()
+    ranked = at.join(seen, "shingle", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    prefix = F.min_by(F.struct("shingle", "offset", "need", "length"), F.struct("count", "shingle", "offset"))
+    prefix = ranked.groupBy("window").agg(prefix.alias("p"), F.min("count").alias("least")).where("least > 0").select("window", "p.*")
+    start = F.col("pos") - F.col("offset")
+    got = positions(docs, sizes).join(F.broadcast(prefix), "shingle").where((start >= 0) & (start + F.col("length") <= F.size("words")))
+    got = got.where(F.slice("words", start + 1, F.col("length")) == F.col("need"))
+    return got.select(*KEY, "window", start.alias("start"), "length")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, width: int, most: int = MOST) -> DataFrame | None:
+    """k1, k2, n_hit, item_ids for each text of docs (KEY, text) that holds a window; None if no item has words."""
     windows = stored(item_windows(items.select("item_id", "text"), width), "windows")
     n = windows.count()
-    words = docs.select("doc_id", F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
-    if n:
-        got = hits(docs, windows, n)
-        per = got.groupBy("doc_id").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("window").alias("ws"))
-        per = stored(per, "hits")  # contaminated documents only
-        covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
-        which, _ = broadcast_within(windows.select("window", "items"), n)
-        found = per.select("doc_id", F.explode("ws").alias("window")).join(which, "window").select("doc_id", F.explode("items").alias("item"))
-        found = found.groupBy("doc_id").agg(F.collect_set("item").alias("item_ids"))
-        per = per.select(F.col("doc_id").alias("d"), covered.cast("long").alias("n_hit")).join(found.withColumnRenamed("doc_id", "e"), F.col("d").eqNullSafe(F.col("e"))).drop("e")
-        df = words.join(per, F.col("doc_id").eqNullSafe(F.col("d")), "left").drop("d")
+    if not n:
+        return None
+    slices = -(-n // most)
+    part = [windows.where(F.pmod(F.xxhash64("window"), F.lit(slices)) == i) for i in range(slices)] if slices > 1 else [windows]
+    got = reduce(DataFrame.unionByName, [hits(docs, w) for w in part])
+    per = got.groupBy(*KEY).agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("window").alias("ws"))
+    per = stored(per, "hits")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
+    which = per.select(*KEY, F.explode("ws").alias("window")).join(windows.select("window", "items"), "window")
+    found = which.select(*KEY, F.explode("items").alias("item")).groupBy(*KEY).agg(F.collect_set("item").alias("item_ids"))
+    return per.select(*KEY, covered.cast("long").alias("n_hit")).join(found, KEY)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, most: int = MOST) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items, items_sha256, contaminated, item_ids.
+
+    doc_ids may be null or repeated and rows may be: each row's result is that of its own text. A null or wordless text has no
+    hits. Texts of any length are read whole. Windows that several items share count for each of them; of shingles that are
+    equally rare the one with the smaller hash, then offset, is joined, which changes no result. Items without words are never
+    found; without items, or without rows, nothing is. Other columns, whatever their names, are ignored.
+    """
+    kind = dict(items.dtypes)["item_id"]
+    docs = docs.select("doc_id", "text", *text_keys())
+    n_words = F.size(split_words(F.coalesce("text", F.lit("")), NON_WORD_CASED))  # their number is the same in either case
+    words = docs.select("doc_id", *KEY, n_words.cast("long").alias("n_words"))
+    per = contaminated(docs.select(*KEY, "text"), items, width, most)
+    if per is None:
+        df = words.withColumns({"n_hit": F.lit(None).cast("long"), "item_ids": F.array().cast(f"array<{kind}>")})
     else:
-        df = words.withColumns({"n_hit": F.lit(None).cast("long"), "item_ids": F.array().cast("array<bigint>")})
-    ids = F.coalesce(F.col("item_ids"), F.array().cast("array<bigint>"))
+        df = words.join(per, KEY, "left")
+    ids, n_hit = F.coalesce(F.col("item_ids"), F.array().cast(f"array<{kind}>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    digest = F.sha2(F.array_join(F.sort_array(ids.cast("array<string>")), ","), 256)
     return df.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.sort_array(ids.cast("array<string>")), ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.sort_array(ids).alias("item_ids"),
-    )
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), digest.alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"), F.sort_array(ids).alias("item_ids"),
+    )
 
 
 def op3_benchmark_decontamination(spark, sf_dir):
@@ -107,9 +126,10 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return out.drop("item_ids")
 
 
-def stage(spark, docs, sf_dir):
-    """Drops the documents that hold a window of a benchmark item."""
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")  # the text alone decides; ids may be null or repeated
-    bad = decontaminate(texts, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = stored(bad, "contaminated")
-    return docs.join(bad, F.xxhash64("text") == F.col("__bad"), "left_anti")
+def stage(spark, docs, sf_dir, width: int = 10):
+    """Drops the documents that hold a window of a benchmark item, and keeps every other row: null and repeated ids, repeated rows, rows without text."""
+    bad = contaminated(docs.select(*text_keys(), "text"), table(spark, sf_dir, "benchmark"), width)
+    if bad is None:
+        return docs
+    bad = stored(bad.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), "contaminated")
+    return docs.join(bad, (F.xxhash64("text") == F.col("__k1")) & (F.xxhash64(F.lit(1), "text") == F.col("__k2")), "left_anti")
