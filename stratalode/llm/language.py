@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored, table
 
@@ -34,21 +35,43 @@ def trigrams(word: str) -> list[int]:
 
 
 class Model:
-    """Log-likelihoods of trigrams under each language, from at most `rows` labelled texts (those with the smallest hashes)."""
+    """Log-likelihoods of trigrams under each language, from (language, bucket, count)."""
 
-    def __init__(self, labelled: list[tuple[str, str]]):
-        self.langs = sorted({lang for _, lang in labelled})
+    def __init__(self, seen: list[tuple[str, int, int]], langs: list[str]):
+        self.langs = sorted(langs)
         counts = np.full((BUCKETS, len(self.langs)), ALPHA)
-        for text, lang in labelled:
-            k = self.langs.index(lang)
-            for w in WORDS.findall(text.lower()):
-                np.add.at(counts[:, k], trigrams(w), 1)
+        at = {lang: k for k, lang in enumerate(self.langs)}
+        for lang, bucket, n in seen:
+            counts[bucket, at[lang]] += n
         self.log = np.log(counts / counts.sum(0))
 
 
+def _count(batches):
+    """Trigrams of labelled texts by language and bucket."""
+    sums: dict[str, np.ndarray] = {}
+    for b in batches:
+        for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+            at = [g for w in WORDS.findall(text.lower()) for g in trigrams(w)]
+            sums[lang] = sums.get(lang, 0) + np.bincount(at, minlength=BUCKETS)
+    rows = [(lang, int(i), int(c[i])) for lang, c in sums.items() for i in np.flatnonzero(c)]
+    cols = list(zip(*rows, strict=True)) or [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "bucket", "n"])
+
+
 def fit(docs: DataFrame, rows: int = 1000) -> Model:
-    some = docs.where("text is not null and lang is not null").select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(rows)
-    return Model([(r.text, r.lang) for r in some.collect()])
+    """A model from labelled texts (text, lang): `rows` in all at most, or one for each language if these are more.
+
+    Every language gets an equal share of them, its distinct texts with the smallest hashes, so neither copies nor a frequent
+    language can fill the sample. Only hashes are ranked; the driver gets counts by language and bucket.
+    """
+    docs = docs.where("text is not null and lang is not null").select("text", "lang")
+    seen = stored(docs.select("lang", F.xxhash64("text").alias("h")).distinct(), "labelled")
+    langs = [r.lang for r in seen.select("lang").distinct().collect()]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = seen.withColumn("rank", rank).where(F.col("rank") <= max(1, rows // max(1, len(langs)))).select(F.col("lang").alias("l"), "h")
+    texts = docs.join(F.broadcast(some), (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h"))).dropDuplicates(["lang", "h"])
+    counts = texts.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return Model([tuple(r) for r in counts.collect()], langs)
 
 
 def _score(model: Model, names: list[str]):
@@ -95,9 +118,10 @@ def softmax(logit: Column) -> Column:
 def identify(rows: DataFrame, model: Model, key: str) -> DataFrame:
     """key, lang, confidence, n_trigrams for every row of key, text, declared, host, suffix (strings, each may be null).
 
-    lang is null (and the row should be refused) if the text has no letters or no language
-    reaches half of the posterior. Equal posteriors go to the first language by name. Repeated
-    rows give repeated results; null hosts and suffixes each form a group.
+    One row for each row. lang is null (and the row should be refused) if the text is null, has no letters, or no language
+    reaches half of the posterior. Equal posteriors (ties) go to the first language by name. Keys may be null or repeated, and
+    repeated rows give repeated results; null hosts and suffixes each form a group, with the empty ones. Long texts count whole,
+    but no text's likelihood counts for more than SURE trigrams. No rows: no rows. Other columns are ignored.
     """
     langs = model.langs
     names = [key, "declared", "host", "suffix"]
@@ -138,7 +162,10 @@ def identify(rows: DataFrame, model: Model, key: str) -> DataFrame:
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
-    """page_id, text (markup, scripts and styles taken out), declared language, host and address suffix."""
+    """page_id, text (markup, scripts and styles taken out), declared language, host and address suffix.
+
+    A null html is a null text that declares nothing; a null or unreadable url has an empty host and suffix.
+    """
     body = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z]{2})", 1))
@@ -151,7 +178,10 @@ def op7_language_id(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Drops the documents whose language can't be told. `lang` is what they declare, `source` their host."""
+    """Drops the documents whose language can't be told. `lang` is what they declare, `source` their host.
+
+    Null and letterless texts go; every other row stays with all its columns, whatever its doc_id, and so do repeated rows.
+    """
     row = F.struct("doc_id", F.xxhash64("text").alias("key"), "lang", "source")  # ids may be null or repeated
     rows = docs.select(row.alias("row"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
     got = identify(rows, fit(docs), "row")
