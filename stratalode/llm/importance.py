@@ -3,6 +3,7 @@
 Two generative models over hashed word unigrams and bigrams, one of target texts and one of all
 texts, give each text its log importance weight, the log ratio of its likelihoods. Adding Gumbel
 noise and keeping the k largest keys draws k texts without replacement in proportion to weight.
+The k-th key is found exactly by counting in ever narrower intervals, without a sort.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ def _weigh(ratio: np.ndarray):
         grams = _hasher()
         for b in batches:
             got = [grams(t) for t in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(g) for g in got], pa.int64()), pa.array([float(ratio[g].sum()) for g in got])], ["doc_id", "n_grams", "log_weight"])
+            cols = [b.column("doc_id"), b.column("text_key"), pa.array([len(g) for g in got], pa.int64()), pa.array([float(ratio[g].sum()) for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_grams", "log_weight"])
 
     return run
 
@@ -78,13 +80,14 @@ def log_ratio(docs: DataFrame, good: DataFrame, most_targets: int = 20_000) -> n
 
 
 def weights(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """doc_id, n_grams, log_weight for every row. Texts without words weigh 0; without target texts all that differs is length."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_weigh(log_ratio(docs, good)), "doc_id long, n_grams long, log_weight double")
+    """doc_id, text_key (a hash), n_grams, log_weight for every row. Texts without words weigh 0."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(_weigh(log_ratio(docs, good)), "doc_id long, text_key long, n_grams long, log_weight double")
 
 
 def gumbel(seed: int):
-    """Gumbel noise fixed by doc_id and seed, so that a task run again draws the same."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    """Gumbel noise fixed by doc_id, text and seed, so that a task run again draws the same."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text_key"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return -F.log(-F.log(u))
 
 
@@ -113,16 +116,25 @@ def kth_largest(rows: DataFrame, key: str, k: int) -> float | None:
 
 
 def resample(docs: DataFrame, good: DataFrame, share: float = 0.5, seed: int = 7) -> DataFrame:
-    """doc_id, n_grams, log_weight (a mean over the text's n-grams times `scale`), sample_key, selected.
+    """doc_id, n_grams, log_weight, sample_key, selected for every row: k rows drawn without replacement, k the share rounded down.
 
-    The weight of a text is its mean log ratio times 100, so that length does not decide. The
-    share (rounded down) with the largest keys is selected; of rows tied at the last key all are.
-    Null and wordless texts weigh 0. Rows without doc_id share one noise value.
+    log_weight is the log ratio of the text's likelihoods under the two models, a sum over all its n-grams however long it is.
+    Null and wordless texts weigh 0. Noise depends on doc_id and text, so equal rows tie; of rows tied at the k-th key as
+    many as are wanted are selected, by a number drawn from their places. doc_ids may be null or repeated. Without target texts
+    the two models are a flat one and the corpus. No rows, or no share: none selected. Other columns are ignored.
     """
-    rows = weights(docs, good).withColumn("log_weight", F.when(F.col("n_grams") > 0, 100 * F.col("log_weight") / F.col("n_grams")).otherwise(F.lit(0.0)))
-    rows = stored(rows.withColumn("sample_key", F.col("log_weight") + gumbel(seed)), "weights")
-    cut = kth_largest(rows, "sample_key", int(rows.count() * share))
-    return rows.withColumn("selected", F.lit(False) if cut is None else F.col("sample_key") >= cut)
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 2)
+    rows = weights(docs, good).withColumn("sample_key", F.col("log_weight") + gumbel(seed)).withColumn("tie", tie)
+    rows = stored(rows.drop("text_key"), "weights")
+    k = int(rows.count() * share)
+    cut = kth_largest(rows, "sample_key", k)
+    if cut is None:
+        return rows.withColumn("selected", F.lit(False)).drop("tie")
+    level = rows.where(F.col("sample_key") == cut)
+    left = k - rows.where(F.col("sample_key") > cut).count()
+    last = kth_largest(level, "tie", left) if left < level.count() else None
+    wins = F.lit(True) if last is None else F.col("tie") >= last
+    return rows.withColumn("selected", (F.col("sample_key") > cut) | ((F.col("sample_key") == cut) & wins)).drop("tie")
 
 
 def op8_importance_resampling(spark, sf_dir):
