@@ -16,9 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import SPACES, ascii_lower, split_words, stored, table
+from .common import SPACES, ascii_lower, repeat_rows, split_words, stored, table
 
 BITS = 3
 BLOCKS = 6
@@ -27,21 +26,22 @@ TILE = 2048
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (bigint) for each distinct (doc_id, text)."""
+    """doc_id, fp (bigint), rows (how many there are) for each distinct (doc_id, text)."""
     words = split_words(ascii_lower(F.coalesce("text", F.lit(""))), SPACES)
     docs = docs.select("doc_id", F.xxhash64("text").alias("key"), words.alias("words"))
     at = docs.select("doc_id", "key", "words", F.posexplode_outer("words").alias("pos", "w"))
     at = at.where(F.col("pos").isNull() | (F.col("pos") <= F.greatest(F.size("words") - size, F.lit(0))))
     h = F.xxhash64(F.concat_ws(" ", *[F.get("words", F.col("pos") + i) for i in range(size)]))
-    at = at.select("doc_id", "key", F.when(F.col("pos").isNotNull(), h).alias("h"))
+    first = (F.coalesce("pos", F.lit(0)) == 0).cast("int")
+    at = at.select("doc_id", "key", F.when(F.col("pos").isNotNull(), h).alias("h"), first.alias("first"))
     lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(0x100000001))).alias(f"s{i}") for i in range(32)]  # two counters in each sum
-    sums = at.groupBy("doc_id", "key").agg(F.count("h").alias("n"), *lanes)
+    sums = at.groupBy("doc_id", "key").agg(F.count("h").alias("n"), F.sum("first").alias("rows"), *lanes)
     fp = F.lit(0).cast("long")
     for i in range(32):
         for bit, c in ((i, F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF))), (i + 32, F.shiftrightunsigned(f"s{i}", 32))):
             value = (1 << bit) - (1 << 64) * (bit == 63)
             fp = fp.bitwiseOR(F.when(c * 2 > F.col("n"), F.lit(value)).otherwise(F.lit(0)).cast("long"))
-    return sums.select("doc_id", fp.alias("fp"))
+    return sums.select("doc_id", fp.alias("fp"), "rows")
 
 
 def block_masks(blocks: int = BLOCKS, bits: int = BITS) -> list[int]:
@@ -78,10 +78,11 @@ def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) between classes (node, fp) within the distance, enough of them to connect what is connected."""
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(block_masks(bits=bits))])
     at = classes.select("node", "fp", F.explode(keys).alias("b")).select("node", "fp", "b.k", "b.v")
-    group = Window.partitionBy("k", "v")
-    at = at.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("chunk", F.floor((F.row_number().over(group.orderBy("fp")) - 1) / TILE).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / TILE).cast("int")))
+    several = at.groupBy("k", "v").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    at = at.join(several, ["k", "v"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = at.withColumn("with", other).select("node", "fp", "k", "v", F.least("chunk", "with").alias("x"), F.greatest("chunk", "with").alias("y"), F.col("chunk").alias("side"))
+    tiles = tiles.repartition("k", "v", "x", "y")  # else all tiles of a frequent key would stay in the task of its join
     return tiles.groupBy("k", "v", "x", "y").applyInPandas(lambda pdf: _forest(pdf, bits), "a long, b long")
 
 
@@ -110,11 +111,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, bits: int = BITS) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links).
+    """doc_id, fp, component_id (smallest doc_id reachable over links): one row for each row of docs, repeated ones too.
 
-    One row for each distinct (doc_id, text). A null or wordless text has fingerprint zero and is
-    linked like any other. Rows without doc_id take part through the other documents of their
-    class; a class of such rows alone has no component_id. Other columns are ignored.
+    A null or wordless text has fingerprint zero and is linked like any other; a text of fewer words than a
+    shingle is one shingle. A bit that half of the shingles have (a tie) is 0. Rows without doc_id take part through the
+    other documents of their class; a class of such rows alone has no component_id. Long texts are whole. No rows: no rows.
+    Other columns are ignored.
     """
     fps = stored(fingerprints(docs.select("doc_id", "text"), size), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
@@ -122,7 +124,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = BITS) -> DataFra
     moved = stored(classes.join(far, "node").where("component < node").select(F.col("fp").alias("f"), "component"), "moved")
     own = classes.withColumnRenamed("fp", "f")
     to = own.join(moved, "f", "left").select("f", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(to, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    return repeat_rows(fps.join(to, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", "rows"), "rows")
 
 
 def op9_simhash_near_dedup(spark, sf_dir):
@@ -133,7 +135,8 @@ def op9_simhash_near_dedup(spark, sf_dir):
 def stage(spark, docs, sf_dir):
     """Keeps one document of each group of near copies: five-word shingles with Jaccard similarity 0.8 or more, linked.
 
-    That is the row with the smallest doc_id (null last), then text hash. Rows are told apart by doc_id and text.
+    That is the row with the smallest doc_id (null last), then text hash. Rows are told apart by doc_id and text; of rows that are
+    equal in both one stays. Texts without words, and null, are copies of one another. No rows: no rows.
     """
     from .jaccard import near_copies
 
