@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
-REMEMBERED = 300_000
+#: Words, and pairs of pieces, that a worker remembers.
+REMEMBERED = 150_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 BPE, UNIGRAM = 2, 1
 
@@ -175,7 +176,12 @@ def _decode(file: str):
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids for every row. A null text counts as empty, an empty one has no ids. Other columns are ignored."""
+    """doc_id, n_tokens, ids for every row.
+
+    A null text counts as empty, an empty one has no ids. doc_ids may be null or repeated, and equal texts have equal ids. Of
+    pieces that lead to equal scores (ties, unigram files only) the longest is taken. Long texts are encoded whole. No rows: no rows.
+    Other columns are ignored.
+    """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(model), "doc_id long, n_tokens long, ids array<int>")
 
 
@@ -197,5 +203,5 @@ def op2_sentencepiece(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """The ids of every document that is left."""
+    """The ids of every document that is left, one row for each row; null and empty texts have none."""
     return encode(docs, model_file())

@@ -344,7 +344,9 @@ def _redact(fitted: Model):
 def find(docs: DataFrame, fitted: Model | None = None) -> DataFrame:
     """For every row: counts of base spans by kind, the digest of base spans, and all spans (kind:start:end in code points).
 
-    A null text counts as empty. Repeated rows give repeated results. Other columns are ignored.
+    One row for each row. A null text counts as empty and has no spans. doc_ids may be null or repeated, and repeated rows give
+    repeated results. Of overlapping candidates with equal scores (ties) the first by kind and place is taken. Long texts are
+    searched whole, in linear time. No rows: no rows. Other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_find(fitted or model()), SCHEMA)
 
@@ -359,6 +361,6 @@ def op10_private_data(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Redacts every document and sets n_chars to the new length."""
+    """Redacts every document and sets n_chars to the new length. Every row stays, whatever its doc_id; null texts stay null, with their n_chars."""
     out = redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
