@@ -8,9 +8,11 @@ removed. No document is held against the whole corpus; it meets only the referen
 2. Windows around repeated anchors are grouped by hash. Each repeated one gets as its
    reference a smaller document that has it. Tasks first settle what repeats among their own documents
    and pass on one document per anchor or window, so a very common passage is no hot spot.
-3. Reference stretches are dealt into shards. Each shard's suffix automaton is built over words, with
-   the smallest doc_id of every state, in each of the tasks among which the shard's documents
-   are divided. Documents stream through it; the matching statistics, word by word, decide what goes.
+3. Reference stretches are dealt into shards. Each shard's suffix automaton over words, with the smallest
+   doc_id of every state, is built once and written to the shared folder. It is then sent to the tasks among
+   which the shard's documents are divided. Documents stream through it; the matching statistics, word by
+   word, decide what goes. All automata together grow with the corpus, so none is sent where no document
+   of the task can match; the automaton of one shard stays small, since there are more shards for more text.
 
 Hashes only choose who meets whom: what is removed was matched word by word.
 """
@@ -18,6 +20,7 @@ Hashes only choose who meets whom: what is removed was matched word by word.
 from __future__ import annotations
 
 import hashlib
+import marshal
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import by_part, even_key, even_keys, parts_for, stored, table
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Anchors or windows that a task gathers before it passes them on.
 GATHERED = 2_000_000
 REMEMBERED = 300_000
-#: Words of documents that one task streams through a shard's automaton.
-STREAMED = 1_000_000
+#: Words, and stretches, of documents that one task streams through a shard's automaton.
+STREAMED, STRETCHES = 1_000_000, 256
+#: Bytes of input that a part stands for at most.
+PART_BYTES = 16 << 20
 DONE, TEXT, WINDOW, HIT, REF = range(5)
 
 _powers: dict[str, np.ndarray] = {}
@@ -113,9 +118,10 @@ def place(ids: np.ndarray, n: int) -> np.ndarray:
     return (ids ^ (ids >> 17) ^ (ids >> 33)) % n
 
 
-def placed(n: int) -> Column:
-    d = F.coalesce("doc_id", F.lit(0))
-    return F.pmod(d.bitwiseXOR(F.shiftright(d, 17)).bitwiseXOR(F.shiftright(d, 33)), F.lit(n)).cast("int")
+def placed(n: int, or_else: str = "doc_id") -> Column:
+    """The even key of place(); rows without doc_id, which nothing is sent to, lie by the hash of another column."""
+    d = F.coalesce(F.col("doc_id"), F.xxhash64(or_else))
+    return even_key(F.pmod(d.bitwiseXOR(F.shiftright(d, 17)).bitwiseXOR(F.shiftright(d, 33)), F.lit(n)).cast("int"), n)
 
 
 def settle(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,15 +145,16 @@ def several(key: np.ndarray, ids: np.ndarray, least: np.ndarray) -> np.ndarray:
     return np.repeat(n > 1, n)
 
 
-def dealt(kind: int, to: np.ndarray, *cols: np.ndarray):
-    """Rows (kind, part, data) for each part; cols sorted by the first."""
+def dealt(kind: int, to: np.ndarray, n: int, *cols: np.ndarray):
+    """Rows (kind, part, data) for each of n parts, by its even key; cols sorted by the first."""
     if not len(to):
         return []
+    keys = even_keys(n)
     order = np.argsort(to, kind="stable")
     to, cols = to[order], [c[order] for c in cols]
     parts, at = np.unique(to, return_index=True)
     ends = np.append(at[1:], len(to))
-    return [(kind, int(p), pack(*(c[i:j] for c in cols))) for p, i, j in zip(parts, at, ends, strict=True)]
+    return [(kind, int(keys[p]), pack(*(c[i:j] for c in cols))) for p, i, j in zip(parts, at, ends, strict=True)]
 
 
 def top(key: np.ndarray, parts: int) -> np.ndarray:
@@ -168,7 +175,8 @@ def _anchors(parts: int, buckets: int, window: int, run: int):
         key = np.concatenate([g for g, _ in got])
         key, ids, least = settle(key, np.repeat(np.array([d for _, d in got], np.int64), [len(g) for g, _ in got]))
         known = several(key, ids, least)
-        return blobs(dealt(WINDOW, top(key[ids == least], parts), key[ids == least], ids[ids == least]) + dealt(HIT, place(ids[known], buckets), key[known], ids[known]))
+        own = ids == least
+        return blobs(dealt(WINDOW, top(key[own], parts), parts, key[own], ids[own]) + dealt(HIT, place(ids[known], buckets), buckets, key[known], ids[known]))
 
     def go(batches):
         of, got, n = Hasher(), [], 0
@@ -193,7 +201,7 @@ def _repeated(buckets: int):
     def go(t: pa.Table) -> pa.Table:
         key, ids, least = settle(*unpack(t.column("data").to_pylist(), 2))
         known = several(key, ids, least)
-        return pa.Table.from_batches([blobs(dealt(HIT, place(ids[known], buckets), key[known], ids[known]))])
+        return pa.Table.from_batches([blobs(dealt(HIT, place(ids[known], buckets), buckets, key[known], ids[known]))])
 
     return go
 
@@ -237,7 +245,9 @@ def _windows(parts: int, buckets: int, window: int, run: int):
         if keys:
             key, doc, least = settle(np.concatenate(keys), np.concatenate(ids))
             hit, ref = doc > least, several(key, doc, least) & (doc == least)
-            packed = dealt(WINDOW, top(key[~hit], parts), key[~hit], doc[~hit]) + dealt(HIT, place(doc[hit], buckets), key[hit], doc[hit], least[hit]) + dealt(REF, place(doc[ref], buckets), key[ref], doc[ref])
+            packed = dealt(WINDOW, top(key[~hit], parts), parts, key[~hit], doc[~hit])
+            packed += dealt(HIT, place(doc[hit], buckets), buckets, key[hit], doc[hit], least[hit])
+            packed += dealt(REF, place(doc[ref], buckets), buckets, key[ref], doc[ref])
             rows += [(k, p, None, None, data, None) for k, p, data in packed]
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, FOUND, strict=True)], schema=FOUND)
@@ -249,12 +259,20 @@ def _references(buckets: int):
     def go(t: pa.Table) -> pa.Table:
         key, doc, least = settle(*unpack(t.column("data").to_pylist(), 2))
         hit, ref = doc > least, several(key, doc, least) & (doc == least)
-        return pa.Table.from_batches([blobs(dealt(HIT, place(doc[hit], buckets), key[hit], doc[hit], least[hit]) + dealt(REF, place(doc[ref], buckets), key[ref], doc[ref]))])
+        got = dealt(HIT, place(doc[hit], buckets), buckets, key[hit], doc[hit], least[hit]) + dealt(REF, place(doc[ref], buckets), buckets, key[ref], doc[ref])
+        return pa.Table.from_batches([blobs(got)])
 
     return go
 
 
-SPAN = pa.schema([("shard", pa.int32()), ("is_ref", pa.bool_()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
+#: `row` is a hash of the whole text: rows may share a doc_id.
+SPAN = pa.schema([("shard", pa.int32()), ("is_ref", pa.bool_()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
+
+
+def row_of(text: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text) - (1 << 63)
 
 
 def runs_of(starts: np.ndarray, label: np.ndarray):
@@ -275,20 +293,20 @@ def _spans(shards: int, window: int):
         for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("data").to_pylist(), strict=True):
             if d not in hits and d not in refs:
                 continue
-            words = t.split()
+            words, row = t.split(), row_of(t)
             whole = of.runs(of.words(words), window)
             if d in hits:
                 key, _, ref = hits[d]
                 order = np.argsort(key)
                 at = np.flatnonzero(np.isin(whole, key))
                 to = place(ref[order][np.searchsorted(key[order], whole[at])], shards)
-                rows += [(s, False, d, i, j + window - i, b" ".join(words[i : j + window])) for i, j, s in runs_of(at, to)]
+                rows += [(s, False, d, row, i, j + window - i, b" ".join(words[i : j + window])) for i, j, s in runs_of(at, to)]
             if d in refs and (d, t) not in seen:
                 seen.add((d, t))
                 at = np.flatnonzero(np.isin(whole, refs[d][0]))
                 s = int(place(np.array([d]), shards)[0])
-                rows += [(s, True, d, i, j + window - i, b" ".join(words[i : j + window])) for i, j, _ in runs_of(at, at * 0)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
+                rows += [(s, True, d, row, i, j + window - i, b" ".join(words[i : j + window])) for i, j, _ in runs_of(at, at * 0)]
+        cols = list(zip(*rows, strict=True)) or [[]] * len(SPAN)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SPAN, strict=True)], schema=SPAN)
 
     return go
@@ -337,6 +355,15 @@ class Automaton:
             up = self.link[i]
             self.doc[up] = min(self.doc[up], self.doc[i])
 
+    def packed(self) -> bytes:
+        return zstandard.compress(marshal.dumps((self.next, self.link, self.size, self.doc)), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Automaton:
+        out = cls()
+        out.next, out.link, out.size, out.doc = marshal.loads(zstandard.decompress(data))  # noqa: S302, written by packed()
+        return out
+
     def matched(self, words: list[bytes], doc: int, window: int):
         """Ends of the stretches of `window` words that also stand in a text of a smaller doc_id."""
         nxt, link, size, least = self.next, self.link, self.size, self.doc
@@ -355,45 +382,56 @@ class Automaton:
                     yield i
 
 
-GONE = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+def _build(t: pa.Table) -> pa.Table:
+    """The automaton of a shard."""
+    auto = Automaton()
+    for d, words in zip(t.column("doc_id").to_pylist(), t.column("words").to_pylist(), strict=True):
+        auto.add(words.split(b" "), d)
+    auto.finish()
+    return pa.table([t.column("shard").slice(0, 1).cast(pa.int32()), pa.array([auto.packed()], pa.binary())], ["shard", "automaton"])
+
+
+GONE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
 def _match(window: int):
-    def go(t: pa.Table) -> pa.Table:
-        rows, auto = t.to_pylist(), Automaton()
-        for r in rows:
-            if r["is_ref"]:
-                auto.add(r["words"].split(b" "), r["doc_id"])
-        auto.finish()
+    """Streams a task's stretches through the automaton of their shard."""
+
+    def go(stretches: pa.Table, automata: pa.Table) -> pa.Table:
         out = []
-        for r in rows:
-            if not r["is_ref"]:
-                for i in auto.matched(r["words"].split(b" "), r["doc_id"], window):
+        if stretches.num_rows and automata.num_rows:
+            auto = Automaton.unpacked(automata.column("automaton")[0].as_py())
+            for r in stretches.select(["doc_id", "row", "at", "words"]).to_pylist():
+                d, row = r["doc_id"], r["row"]
+                for i in auto.matched(r["words"].split(b" "), d, window):
                     a, b = r["at"] + i - window + 1, r["at"] + i
-                    if out and out[-1][0] == r["doc_id"] and out[-1][1] <= a <= out[-1][2] + 1:
-                        out[-1] = (r["doc_id"], out[-1][1], b)
+                    if out and out[-1][:2] == (d, row) and out[-1][2] <= a <= out[-1][3] + 1:
+                        out[-1] = (*out[-1][:3], b)
                     else:
-                        out.append((r["doc_id"], a, b))
-        cols = list(zip(*out, strict=True)) or [[]] * 3
+                        out.append((d, row, a, b))
+        cols = list(zip(*out, strict=True)) or [[]] * len(GONE)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, GONE, strict=True)], schema=GONE)
 
     return go
 
 
-def _removed(docs: pa.Table, gone: pa.Table) -> pa.Table:
-    cut: dict[int, list] = {}
-    for r in gone.to_pylist():
-        cut.setdefault(r["doc_id"], []).append((r["first"], r["last"]))
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+
+
+def _cut(docs: pa.Table, gone: pa.Table) -> pa.Table:
+    spans: dict[tuple[int, int], list] = {}
+    for r in gone.select(GONE.names).to_pylist():
+        spans.setdefault((r["doc_id"], r["row"]), []).append((r["first"], r["last"]))
     out = []
     for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("data").to_pylist(), strict=True):
         words = t.split()
         keep = np.ones(len(words), bool)
-        for a, b in cut.get(d, ()):
+        for a, b in spans.get((d, row_of(t)), ()):
             keep[a : b + 1] = False
         left = [w for w, k in zip(words, keep, strict=True) if k]
         out.append((d, len(words), len(words) - len(left), digest(left), b" ".join(left).decode()))
-    cols = list(zip(*out, strict=True)) or [[]] * 5
-    return pa.table([pa.array(c, y) for c, y in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+    cols = list(zip(*out, strict=True)) or [[]] * len(RESULT)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, RESULT, strict=True)], schema=RESULT)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -401,37 +439,36 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Words are split at ASCII white space. Null and wordless texts have none. Rows without doc_id
     neither lose words nor serve as references; rows with one doc_id are each judged against
-    smaller ones. Repeated rows give repeated results. Other columns are ignored.
+    smaller ones, never against one another. Repeated rows give repeated results. Of several documents that
+    share a window the one with the smallest doc_id keeps it, so ties can't arise. Long texts are whole. No
+    rows: no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    n, run = int(spark.conf.get("spark.sql.shuffle.partitions")), window // 2
-    parts = buckets = n
-    shards = 4 * n + 1
+    n = parts_for(docs, PART_BYTES, 400)
+    run, shards = window // 2, 4 * n + 1
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     blob, found = "kind int, part int, data binary", "kind int, part int, doc_id long, n_words long, data binary, digest string"
-    anchors = stored(docs.mapInArrow(_anchors(parts, buckets, window, run), blob), "anchors")
-    known = anchors.where(F.col("kind") == HIT).unionByName(anchors.where(F.col("kind") == WINDOW).groupBy("part").applyInArrow(_repeated(buckets), blob))
-    near = docs.withColumn("part", placed(buckets)).groupBy("part").cogroup(known.groupBy("part"))
-    near = stored(near.applyInArrow(_windows(parts, buckets, window, run), found), "windows")
+    anchors = stored(docs.mapInArrow(_anchors(n, n, window, run), blob), "anchors")
+    known = anchors.where(F.col("kind") == HIT).unionByName(by_part(anchors.where(F.col("kind") == WINDOW), n).applyInArrow(_repeated(n), blob))
+    near = by_part(docs.withColumn("part", placed(n, "text")), n).cogroup(by_part(known, n))
+    near = stored(near.applyInArrow(_windows(n, n, window, run), found), "windows")
     texts = near.where(F.col("kind") == TEXT).select("part", "doc_id", "data")
     sets = near.select("kind", "part", "data")
-    refs = sets.where(F.col("kind").isin(HIT, REF)).unionByName(sets.where(F.col("kind") == WINDOW).groupBy("part").applyInArrow(_references(buckets), blob))
-    spans = texts.groupBy("part").cogroup(refs.groupBy("part")).applyInArrow(_spans(shards, window), "shard int, is_ref boolean, doc_id long, at long, n long, words binary")
-    spans = stored(spans, "spans")
-    sizes = stored(spans.where("not is_ref").groupBy("shard").agg(F.ceil(F.sum("n") / STREAMED).cast("int").alias("tasks")), "shards")
-    rows = spans.join(F.broadcast(sizes), "shard")  # as many rows as shards, a parameter
-    to = F.when(F.col("is_ref"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "at"), F.col("tasks")).cast("int")))
-    dealt_rows = rows.withColumn("task", F.explode(to)).drop("tasks")
-    gone = dealt_rows.groupBy("shard", "task").applyInArrow(_match(window), "doc_id long, first long, last long")
-    gone = gone.withColumn("part", placed(buckets))
-    cut = texts.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    done = near.where(F.col("kind") == DONE).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    refs = sets.where(F.col("kind").isin(HIT, REF)).unionByName(by_part(sets.where(F.col("kind") == WINDOW), n).applyInArrow(_references(n), blob))
+    spans = by_part(texts, n).cogroup(by_part(refs, n))
+    spans = stored(spans.applyInArrow(_spans(shards, window), "shard int, is_ref boolean, doc_id long, row long, at long, n long, words binary"), "spans")
+    tasks = F.ceil(F.greatest(F.sum("n") / STREAMED, F.count(F.lit(1)) / STRETCHES)).cast("int")
+    sizes = stored(spans.where("not is_ref").groupBy("shard").agg(tasks.alias("tasks")), "shards")
+    sizes = F.broadcast(sizes)  # as many rows as shards, a parameter
+    automata = stored(spans.where("is_ref").groupBy("shard").applyInArrow(_build, "shard int, automaton binary"), "automata", compression="none")
+    automata = automata.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "automaton")
+    stretches = spans.where("not is_ref").join(sizes, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id", "row", "at"), F.col("tasks")).cast("int")).drop("tasks", "is_ref", "n")
+    gone = stretches.groupBy("shard", "task").cogroup(automata.groupBy("shard", "task"))
+    gone = gone.applyInArrow(_match(window), "doc_id long, row long, first long, last long").withColumn("part", placed(n))
+    cut = by_part(texts, n).cogroup(by_part(gone, n)).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = near.where(F.col("kind") == DONE)
+    done = done.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
     return done.unionByName(cut)
 
 
-def _cut(docs: pa.Table, gone: pa.Table) -> pa.Table:
-    return _removed(docs, gone.select(["doc_id", "first", "last"]))
-
-
 def op6_substring_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
