@@ -132,7 +132,7 @@ class Pieces:
         words = [cut((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        self.walk(sorted(set().union(*words) - self.known.keys()))
+        self.walk(sorted(set().union(*words).difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
