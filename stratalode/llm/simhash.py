@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, repeat_rows, split_words, stored, table
+from .common import SPACES, ascii_lower, broadcast_within, repeat_rows, split_words, stored, table
 
 BITS = 3
 BLOCKS = 6
@@ -143,6 +143,11 @@ def stage(spark, docs, sf_dir):
     rows = stored(near_copies(docs), "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     many = rows.groupBy("grp").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = rows.join(many, "grp").where(rank != F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct()
-    gone = stored(gone, "copies")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__key")), "left_anti").dropDuplicates(["doc_id", "text"])
+    at = [F.col("doc_id").alias("__id"), F.col("key").alias("__key")]
+    gone = stored(rows.join(many, "grp").where(rank != F.col("kept")).select(*at).distinct(), "copies")
+    twice = stored(rows.groupBy("doc_id", "key").count().where("count > 1").select(*at), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    gone, twice = (broadcast_within(df, df.count())[0] for df in (gone, twice))
+    left = docs.join(gone, same, "left_anti")
+    # only rows that are there more than once are compared as a whole, so texts are not shuffled
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
