@@ -11,7 +11,7 @@ from ..functions.text import entropy
 DEBT = [
     (r"(?i)\b(FIXME)\b", "defect", 1.0), (r"(?i)\b(BUG|BUGFIX)\b", "defect", 1.0), (r"(?i)\b(XXX)\b", "defect", 1.0), (r"(?i)\b(SECURITY)\b", "defect", 1.0),
     (r"(?i)\b(HACK)\b", "design", 2.0), (r"(?i)\b(WORKAROUND)\b", "design", 2.0), (r"(?i)\b(KLUDGE)\b", "design", 2.0), (r"(?i)\b(TODO)\b", "design", 2.0), (r"(?i)\b(OPTIMIZE|PERF)\b", "design", 2.0),
-    (r"(?i)\b(TECH.?DEBT|DEBT)\b", "debt", 3.0), (r"(?i)\b(NOQA|type:\s*ignore)\b", "test", 0.5), (r"(?i)\b(DOCME|DOCUMENT|UNDOCUMENTED)\b", "documentation", 0.25),
+    (r"(?i)\b(TECH.?DEBT|DEBT)\b", "debt", 3.0), (r"(?i)\b(NOQA|type:\\s*ignore)\b", "test", 0.5), (r"(?i)\b(DOCME|DOCUMENT|UNDOCUMENTED)\b", "documentation", 0.25),
 ]
 # Marks of generated code.
 GENERATED = [
@@ -41,11 +41,12 @@ def first_of(patterns: list[tuple], column: str):
 
 
 def debt(lines: DataFrame, key: str) -> DataFrame:
-    """key, line, marker, category, hours, note of each comment with a debt marker."""
-    note = F.regexp_extract("text", r"#\s*(.*)", 1)
-    rows = lines.where(F.col("text").contains("#")).select(key, "line", note.alias("note")).withColumn("i", first_of(DEBT, "note")).where("i is not null")
-    names, cats, hours = (F.array(*map(F.lit, x)) for x in ([p.split("(")[2].split("|")[0].rstrip(")\\b") for p, _, _ in DEBT], [c for _, c, _ in DEBT], [h for _, _, h in DEBT]))
-    return rows.select(key, "line", F.get(names, F.col("i")).alias("marker"), F.get(cats, F.col("i")).alias("category"), F.get(hours, F.col("i")).alias("hours"), F.left("note", F.lit(200)).alias("note"))
+    """key, line, marker (as written, in capitals), category, hours, note of each line with a debt marker: what follows its #, or the whole line."""
+    rows = lines.withColumn("i", first_of(DEBT, "text")).where("i is not null")
+    marker = F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p, _, _ in DEBT])
+    cats, hours = (F.array(*map(F.lit, x)) for x in ([c for _, c, _ in DEBT], [h for _, _, h in DEBT]))
+    note = F.trim(F.when(F.col("text").contains("#"), F.regexp_extract("text", r"#\s*(.*)", 1)).otherwise(F.col("text")))
+    return rows.select(key, "line", F.upper(marker).alias("marker"), F.get(cats, F.col("i")).alias("category"), F.get(hours, F.col("i")).alias("hours"), F.left(note, F.lit(200)).alias("note"))
 
 
 def generated(lines: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import bisect
 import re
 
@@ -55,6 +56,9 @@ class File:
         self.lines = text.split("\n")
         name = rel.rpartition("/")[2]
         self.test = "/tests/" in f"/{rel}" or name.startswith("test_") or name.endswith("_test.py") or name == "conftest.py"
+        #: Other tests of some rules: by the name alone, and by either, with a dash too.
+        self.named_test = name.startswith("test_") or name.endswith("_test.py")
+        self.page_test = "/tests/" in f"/{rel}" or name.startswith(("test_", "test-"))
         self._made: dict[str, object] = {}
 
     def made(self, what: str, how):
@@ -107,13 +111,8 @@ class File:
         if rule == "PY-006":
             return any(r[2] <= line <= r[3] for r in f.rows["functions"])
         if rule == "PY-008":
-            for _, _, callee, _, is_attr, has_encoding, is_binary in (c for c in f.rows["calls"] if c[3] == line):
-                if is_attr:
-                    return False
-                if callee == "open":
-                    return not (has_encoding or is_binary)
-            return True
-        if rule == "PY-007" and (self.test or re.search(r"os\.environ\[[^\]]+\]\s*=", text) or text.startswith("del ") or ".pop(" in text):
+            return self._opens_without_encoding(line)
+        if rule == "PY-007" and (self.named_test or re.search(r"os\.environ\[[^\]]+\]\s*=", text) or text.startswith("del ") or ".pop(" in text):
             return False
         if rule == "QUAL-004" and re.search(r"float\(\s*args\.\w", text):
             return False
@@ -121,13 +120,13 @@ class File:
 
     def real_context(self, rule: str, line: int) -> bool:
         if rule == "QUAL-010":
-            return not (self.test or self._caught(line))
+            return not (self.page_test or self._caught(line))
         if any(re.search(p, x) for a, b, p in HARMLESS[rule] for x in self.near(line, a, b)):
             return False
         if rule == "SEC-007":
             text = self.lines[line - 1]
             quoted = re.search(r"['\"].*\beval\b.*['\"]", text)
-            return not (quoted and (self.test or "eval(" not in re.split(r"['\"]", text)[0]) or self.test and "pytest.fail" in text and "eval" in text)
+            return not (quoted and (self.page_test or "eval(" not in re.split(r"['\"]", text)[0]) or self.page_test and "pytest.fail" in text and "eval" in text)
         if rule == "SEC-004":
             name = re.search(r"\{(\w+)\}", self.lines[line - 1])
             if name and re.search(r"execute\(\s*f['\"]", self.lines[line - 1]):
@@ -136,6 +135,18 @@ class File:
                 return not any(re.search(known, x) for x in self.near(line, -18, -1))
         return True
 
+    def _opens_without_encoding(self, line: int) -> bool:
+        """Of the line's calls, level by level through the tree, the first method call or open() decides."""
+        calls = self.made("levels", lambda: [x for x in ast.walk(self.facts.tree) if isinstance(x, ast.Call)])
+        for c in (c for c in calls if c.lineno == line):
+            if isinstance(c.func, ast.Attribute):
+                return False
+            if isinstance(c.func, ast.Name) and c.func.id == "open":
+                modes = [*c.args[1:2], *(k.value for k in c.keywords if k.arg == "mode")]
+                binary = any(isinstance(m, ast.Constant) and isinstance(m.value, str) and "b" in m.value for m in modes)
+                return not (binary or any(k.arg == "encoding" for k in c.keywords))
+        return True
+
     def _caught(self, line: int) -> bool:
         """Whether the nearest try within 40 lines above, with no function between, has a catch within 40 below."""
         here = self.lines[line - 1]
@@ -144,7 +155,7 @@ class File:
         for text in reversed([x.strip() for x in self.near(line, -38, -1)]):
             if re.search(r"\btry\s*\{?$", text) or text.startswith("try{"):
                 return any("catch" in x for x in self.near(line, 1, 40))
-            if re.search(r"\b(?:function|class)\b|=>", text) and "{" in text:
+            if re.search(r"\b(?:function|class|=>)\b", text) and "{" in text:
                 return False
         return False
 
@@ -188,7 +199,7 @@ def scan_text(rel: str, lang: str, text: str, rules: list[tuple], policy: str =
                     continue
             tier = "safe" if rule in SAFE else "cautious" if severity == "LOW" else "manual"
             path = " + ".join(["pattern", *["ast"] * ast_ok, *["context"] * context_ok, *["taint"] * (hit is not None)])
-            out.append((rel, rule, severity, line, at - f.starts[line - 1] + 1, at, m[0][:200], message, cwe, owasp, ast_ok, context_ok, python and f.inside(NON_CODE, at), hit, confidence(rule, ast_ok, context_ok), tier, path))
+            out.append((rel, rule, severity, line, at - f.starts[line - 1] + 1, at, m[0], message, cwe, owasp, ast_ok, context_ok, python and f.inside(NON_CODE, at), hit, confidence(rule, ast_ok, context_ok), tier, path))
     return out
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import code, detectors, matching, offsets, relational
 from ..operators.rules import BY_ID
@@ -30,13 +29,15 @@ def scan_two_rules(spark, d):
     return got.select("rel", "rule_id", "line", "col", "start", "matched_text")
 
 
-NOTE = "case event_type when 'error' then 'x = 1  # FIXME soon' when 'click' then '# a TODO and a hack' when 'view' then 'y = 2' when 'signup' then '# tech debt' else '# noqa' end"
+NOTE = """case event_type when 'error' then 'x = 1  # FIXME soon' when 'click' then '# a TODO and a hack' when 'view' then '  // Optimize this; perf' when 'signup' then '# tech-debt' when 'purchase' then 'y = 2' else '# noqa' end"""
+MARKER = "coalesce(" + ", ".join(f"nullif(upper(regexp_extract(t, '{p}', 1)), '')" for p, _, _ in detectors.DEBT) + ")"
+FIRST = "case " + " ".join(f"when regexp_matches(t, '{p}') then {i}" for i, (p, _, _) in enumerate(detectors.DEBT)) + " end"
 
 
-@query(f"""select event_id, marker, category, hours, note from (select event_id, {NOTE} as t from events) join (values ('x = 1  # FIXME soon', 'FIXME', 'defect', 1.0::double, 'FIXME soon'), ('# a TODO and a hack', 'HACK', 'design', 2.0::double, 'a TODO and a hack'),
- ('# tech debt', 'TECH.?DEBT', 'debt', 3.0::double, 'tech debt'), ('# noqa', 'NOQA', 'test', 0.5::double, 'noqa')) v(t, marker, category, hours, note) using (t)""")
+@query(f"""select event_id, {MARKER} as marker, c as category, h as hours, left(case when contains(t, '#') then trim(regexp_extract(t, '#\\s*(.*)', 1), ' ') else trim(t, ' ') end, 200) as note
+ from (select event_id, {NOTE} as t from events) join (values {', '.join(f"({i}, '{c}', {h}::double)" for i, (_, c, h) in enumerate(detectors.DEBT))}) v(i, c, h) on v.i = {FIRST}""")
 def debt_markers(spark, d):
-    """Debt markers of comments; the first in the ladder counts."""
+    """Debt markers of lines in any language; the first in the ladder counts."""
     ls = read(spark, d, "events").select("event_id", F.lit(1).cast("long").alias("line"), F.expr(NOTE).alias("text"))
     return detectors.debt(ls, "event_id").select("event_id", "marker", "category", "hours", "note")
 
@@ -64,10 +65,3 @@ def entry_points(spark, d):
     e = read(spark, d, "customer").where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("callers"))
     n = read(spark, d, "nation").join(e, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return n.select(F.col("n_nationkey").cast("long").alias("k"), F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("callers", F.lit(0)).eqNullSafe(0).alias("entry"))
-
-
-@query("""with v as (select user_id, event_id, event_type, row_number() over (partition by user_id, event_type order by event_id) as nth from events) select user_id, event_id, nth::bigint as nth from v where event_type = 'error'""")
-def regressions(spark, d):
-    """Findings whose fingerprint (user and kind) came up before, with their count so far."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return read(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("nth"))
