@@ -18,6 +18,9 @@ WIDE_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"
 SPACES = r"[\x20\x09-\x0D]+"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Bytes of an Arrow batch on its way to a Python worker at most.
+BATCH_BYTES = 4 << 20
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -56,6 +59,19 @@ def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands Python workers batches of BATCH_BYTES or less from now on, unless it asks for smaller ones.
+
+    The batch that is built in the JVM, its buffers that double and its copy in the worker all count to an executor's memory; by
+    default they hold up to 64 MB each, whatever the length of the rows.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else. lower() is much the faster way where it can change no other letter."""
     return F.when(text.rlike(WIDE_UPPER), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

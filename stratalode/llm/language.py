@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import in_small_batches, stored, table
 
 BUCKETS = 1 << 15
 #: Trigrams that count at most: beyond it a longer text is no surer, since trigrams are not independent.
@@ -70,7 +70,7 @@ def fit(docs: DataFrame, rows: int = 1000) -> Model:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     some = seen.withColumn("rank", rank).where(F.col("rank") <= max(1, rows // max(1, len(langs)))).select(F.col("lang").alias("l"), "h")
     texts = docs.join(F.broadcast(some), (F.col("lang") == F.col("l")) & (F.xxhash64("text") == F.col("h"))).dropDuplicates(["lang", "h"])
-    counts = texts.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = in_small_batches(texts).select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in counts.collect()], langs)
 
 
@@ -127,7 +127,7 @@ def identify(rows: DataFrame, model: Model, key: str) -> DataFrame:
     names = [key, "declared", "host", "suffix"]
     rows = rows.select(key, *[F.coalesce(F.lower(c), F.lit("")).alias(c) for c in names[1:]], "text")
     kind = dict(rows.dtypes)[key]
-    seen = stored(rows.mapInArrow(_score(model, names), f"{key} {kind}, declared string, host string, suffix string, n_trigrams long, logit array<double>"), "evidence")
+    seen = stored(in_small_batches(rows).mapInArrow(_score(model, names), f"{key} {kind}, declared string, host string, suffix string, n_trigrams long, logit array<double>"), "evidence")
     if not langs:
         return seen.select(key, F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), "n_trigrams")
     seen = seen.withColumn("own", F.when(F.col("n_trigrams") > 0, softmax(F.col("logit"))).otherwise(F.array(*[F.lit(0.0)] * len(langs))))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_small_batches, table
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
@@ -182,7 +182,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     pieces that lead to equal scores (ties, unigram files only) the longest is taken. Long texts are encoded whole. No rows: no rows.
     Other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(model), "doc_id long, n_tokens long, ids array<int>")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(model), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_small_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "identity", "secret")
 BASE = {
@@ -348,12 +348,12 @@ def find(docs: DataFrame, fitted: Model | None = None) -> DataFrame:
     repeated results. Of overlapping candidates with equal scores (ties) the first by kind and place is taken. Long texts are
     searched whole, in linear time. No rows: no rows. Other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_find(fitted or model()), SCHEMA)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_find(fitted or model()), SCHEMA)
 
 
 def redact(docs: DataFrame, fitted: Model | None = None) -> DataFrame:
     """docs with every found span in text replaced by its kind; other columns, and null texts, stay as they are."""
-    return docs.mapInArrow(_redact(fitted or model()), docs.schema)
+    return in_small_batches(docs).mapInArrow(_redact(fitted or model()), docs.schema)
 
 
 def op10_private_data(spark, sf_dir):
