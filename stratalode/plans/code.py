@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import code, detectors, matching, offsets, relational
+from ..operators import detectors, matching, offsets, relational
 from ..operators.rules import BY_ID
 from ..sources import tree
 from .corpus import FINDINGS, LINES, read, sources
@@ -49,15 +49,6 @@ def enclosing_scope(spark, d):
     return relational.enclosing_scope(ls, "user_id", r'^password = "(\w+)"').select("user_id", "line", "scope")
 
 
-@query("select 'c' || c_custkey as src, 's' || s_suppkey as dst from customer join supplier on c_nationkey = s_nationkey and c_custkey % 5 = 0")
-def call_resolution(spark, d):
-    """Calls resolved to all functions of the called name: customers call their nation, suppliers are defined under theirs."""
-    f = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("qualname"), F.col("s_nationkey").cast("string").alias("name"), F.lit("").alias("rel"))
-    c = read(spark, d, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("caller"), F.col("c_nationkey").cast("string").alias("callee"), F.lit("").alias("rel"))
-    cut = lambda x: F.expr(f"substring({x}, 3)")
-    return code.call_edges(f, c).select(cut("src").alias("src"), cut("dst").alias("dst"))
-
-
 @query("""with n as (select n_nationkey as k, count(c_custkey) as callers from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 9000 group by 1)
  select k::bigint as k, callers::bigint as callers, callers = 0 as entry from n""")
 def entry_points(spark, d):

@@ -180,15 +180,6 @@ def duplicate_blocks(spark, d):
     return relational.duplicate_blocks(offsets.lines(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query(f"""with t as (select doc_id, line from {DOC_LINES} where line % 7 = 0),
- l as (select doc_id, line, lower(trim(regexp_replace(regexp_replace(text, '(#|//).*$', ''), '\\s+', ' ', 'g'), ' ')) as t from {DOC_LINES})
- select t.doc_id, t.line, sha256(string_agg(l.t, chr(10) order by l.line)) as context_hash from t join l on l.doc_id = t.doc_id and l.line between t.line - 5 and t.line + 5 where l.t <> '' group by 1, 2""")
-def fingerprint(spark, d):
-    """Digest of what surrounds every seventh line of a document."""
-    ls = offsets.lines(read(spark, d, "documents"), "doc_id", "text")
-    return relational.fingerprints(ls, ls.where("line % 7 = 0").select("doc_id", "line"), "doc_id")
-
-
 @query(f"""select doc_id, line, count(*) over (partition by doc_id, trim(text, ' ') order by line rows unbounded preceding)::bigint as occurrence from {DOC_LINES}""")
 def nth_occurrence(spark, d):
     ls = offsets.lines(read(spark, d, "documents"), "doc_id", "text").withColumn("scope", F.lit("<module>"))

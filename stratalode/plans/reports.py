@@ -8,7 +8,7 @@ from ..operators import offsets, relational, reports
 from .corpus import DOC_LINES, FINDINGS, LINES, SOURCES, read, sources, view_findings
 from .registry import query
 from .star import FILES
-from .whole import COUPLING_ALL, TRADE_ALL, coupling_all, trade_all
+from .whole import COUPLING, TRADE, coupling, trade
 
 MARKED = f"(select *, line % 3 = 0 as llm_suppressed from {FINDINGS})"
 
@@ -40,19 +40,19 @@ def element_counts(spark, d):
     return reports.elements(offsets.lines(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query(f"select dst as module, count(*)::bigint as dependents from {TRADE_ALL} group by 1 having count(*) >= 5 order by dependents desc, module limit 10")
+@query(f"select dst as module, count(*)::bigint as dependents from {TRADE} group by 1 having count(*) >= 5 order by dependents desc, module limit 10")
 def god_modules(spark, d):
-    return reports.god_modules(trade_all(spark, d))
+    return reports.god_modules(trade(spark, d))
 
 
 HEALTH = f"""(select *, case when ce <= 2 and n_functions <= 8 then 'high' when ce <= 5 then 'medium' else 'low' end as cohesion,
  case when ca >= 5 and ce >= 5 then 'god_module' when instability > 0.8 and ca >= 3 then 'fragile' when ca = 0 and ce = 0 and n_lines > 20 then 'isolated' when ce > 8 then 'dependent' else 'healthy' end as health
- from (select *, n_nationkey::bigint % 13 as n_functions, n_nationkey::bigint * 5 as n_lines from {COUPLING_ALL}))"""
+ from (select *, n_nationkey::bigint % 13 as n_functions, n_nationkey::bigint * 5 as n_lines from {COUPLING}))"""
 
 
 @query(f"select n_nationkey, ca, ce, instability, n_functions, n_lines, cohesion, health from {HEALTH}")
 def coupling_health(spark, d):
-    df = coupling_all(spark, d).withColumns({"n_functions": F.col("n_nationkey").cast("long") % 13, "n_lines": F.col("n_nationkey").cast("long") * 5})
+    df = coupling(spark, d).withColumns({"n_functions": F.col("n_nationkey").cast("long") % 13, "n_lines": F.col("n_nationkey").cast("long") * 5})
     return reports.coupling_health(df)
 
 

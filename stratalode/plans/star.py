@@ -39,36 +39,6 @@ def hotspots(spark, d):
     return relational.hotspots(ev, "path", ("view",), 100)
 
 
-def trade(spark, d, most: int | None = None):
-    """Nations whose customers bought from nations' suppliers; with `most`, only pairs seen so often or less."""
-    li, o = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c, s = read(spark, d, "customer").select("c_custkey", "c_nationkey"), read(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    e = e.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    return e.where((F.col("n") * 7 + F.col("src") * 3 + F.col("dst")) % 5 == 0).select("src", "dst")
-
-
-TRADE = """(select src, dst from (select c_nationkey as src, s_nationkey as dst, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2)
- where (n * 7 + src * 3 + dst) % 5 = 0)"""
-COUPLING = f"""(select n_nationkey, coalesce(ca, 0)::bigint as ca, coalesce(ce, 0)::bigint as ce, case when coalesce(ca, 0) + coalesce(ce, 0) = 0 then 0.5::double else round_even(coalesce(ce, 0)::double / (coalesce(ca, 0) + coalesce(ce, 0)), 2) end as instability
- from nation left join (select src, count(*) as ce from {TRADE} where src <> dst group by 1) on src = n_nationkey left join (select dst, count(*) as ca from {TRADE} where src <> dst group by 1) on dst = n_nationkey)"""
-
-
-@query(f"select * from {COUPLING}")
-def coupling(spark, d):
-    return relational.coupling(trade(spark, d), read(spark, d, "nation").select("n_nationkey"), "n_nationkey")
-
-
-@query(f"select n_nationkey, ca, ce, ca * ce as score from {COUPLING} where ca >= 3 and ce >= 3")
-def hub_nodes(spark, d):
-    return relational.hubs(coupling(spark, d), "n_nationkey")
-
-
-@query(f"select instability, count(*)::bigint as nodes, min(n_nationkey) as first from {COUPLING} group by 1")
-def instability_rank(spark, d):
-    return coupling(spark, d).groupBy("instability").agg(F.count(F.lit(1)).alias("nodes"), F.min("n_nationkey").alias("first"))
-
-
 PLACES = "(select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer)"
 
 
@@ -81,13 +51,6 @@ def impact_2hop(spark, d):
     return relational.within_hops(e, spark.createDataFrame([("n3",)], "node string"), "node")
 
 
-@query(f"""with e as materialized (select distinct src, dst from {TRADE} where src <> dst), c2 as (select [a.src, a.dst] as path from e a join e b on a.dst = b.src and b.dst = a.src where a.src < a.dst),
- c3 as (select [a.src, a.dst, b.dst] as path from e a join e b on a.dst = b.src join e c on b.dst = c.src and c.dst = a.src where a.src < a.dst and a.src < b.dst and b.dst <> a.dst)
- select array_to_string(path, '>') as path, len(path)::int as length from (from c2 union all from c3)""")
-def cycles_len_le_3(spark, d):
-    return relational.cycles(trade(spark, d), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
-
-
 @query("select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45)")
 def dead_nodes(spark, d):
     used = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
@@ -103,13 +66,6 @@ def orphan_full_outer(spark, d):
     return relational.wiring(calls, read(spark, d, "customer").where("c_acctbal > 2000").select(F.col("c_custkey").alias("key")), "key")
 
 
-@query("""with m as (select distinct 's' || s_nationkey as model, 'f' || s_suppkey % 17 as field from supplier), s as (select distinct 's' || c_nationkey as model, 'f' || c_custkey % 19 as field from customer where c_custkey % 4 = 0)
- select model, field, 'unused' as kind, 'LOW' as severity from (from m except from s) union all select model, field, 'missing', 'HIGH' from (from s except from m) where model in (select model from m)""")
-def schema_drift(spark, d):
-    m = read(spark, d, "supplier").selectExpr("concat('s', s_nationkey) as model", "concat('f', s_suppkey % 17) as field")
-    return relational.drift(m, read(spark, d, "customer").where("c_custkey % 4 = 0").selectExpr("concat('s', c_nationkey) as model", "concat('f', c_custkey % 19) as field"))
-
-
 @query("""with s as (select source, 5.0::double * count(*) as w, 'security' as kind from documents join labels using (doc_id) where toxic = 1 group by 1
  union all select source, 2.0::double * count(*), 'quality' from documents join labels using (doc_id) where quality = 0 group by 1
  union all select source, 1.0::double * count(*), 'churn' from documents where lang <> 'en' group by 1
@@ -166,25 +122,6 @@ def confidence_calibrate(spark, d):
     )
 
 
-COUNTS = f"(select count(*)::bigint as total, count(*) filter (where severity = 'HIGH')::bigint as high, count(*) filter (where severity = 'MEDIUM')::bigint as medium, count(*) filter (where severity = 'LOW')::bigint as low from {FINDINGS} where user_id % 50 = 3)"
-
-
-@query(f"""with s as (select *, least(greatest(100 - 25 * high - 8 * medium - 2 * low - trunc(8.0::double * total / greatest({FILES}, 1))::bigint, 0), 100)::bigint as score from {COUNTS})
- select *, concat_ws(',', case when high > 0 then 'high' end, case when medium > 25 then 'medium' end, case when score < 70 then 'score' end) as failures, not (high > 0 or medium > 25 or score < 70) as passed from s""")
-def quality_gate(spark, d):
-    files = read(spark, d, "events").agg(F.countDistinct("user_id").alias("__files"))
-    counts = rollups.severity_counts(view_findings(spark, d).where("user_id % 50 = 3")).crossJoin(files)  # one row each
-    return rollups.gate(rollups.quality_score(counts, F.col("__files"))).drop("__files")
-
-
-@query(f"""with c as (select count(*) filter (where severity = 'HIGH')::bigint as high, count(*) filter (where severity = 'MEDIUM')::bigint as medium, count(*) filter (where severity = 'LOW')::bigint as low, count(*) filter (where contains(rule_id, 'SEC-'))::bigint as security,
-  sum(case severity when 'HIGH' then 15 when 'MEDIUM' then 10 else 5 end)::bigint as minutes from {FINDINGS} where line <= 3 and user_id < 5),
- s as (select *, least(greatest(round_even(100 - 5 * high - 2 * medium - 0.5::double * low, 0), 0), 100)::bigint as score, high + security as blockers from c)
- select high, medium, low, security, coalesce(minutes, 0)::bigint as minutes, score, blockers, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 60 then 'C' when score >= 40 then 'D' else 'F' end as grade, case when blockers = 0 and score >= 60 then 'GO' else 'NO-GO' end as decision from s""")
-def project_review(spark, d):
-    return rollups.review(view_findings(spark, d).where("line <= 3 and user_id < 5"))
-
-
 @query(f"select coalesce(sum(m), 0)::bigint as minutes, round_even(coalesce(sum(m), 0) / 60.0::double, 1) as hours from (select case when starts_with(rule_id, 'SEC-') then 15 when starts_with(rule_id, 'QUAL-') then 5 else 10 end as m from {FINDINGS})")
 def remediation_time(spark, d):
     return rollups.remediation(view_findings(spark, d))

@@ -28,26 +28,26 @@ def test_graph_sees_every_edge(spark):
     e = edges()
     ce, ca = Counter(a for a, _ in e), Counter(b for _, b in e)
     want = {n: (ca[n], ce[n]) for (n,) in load("nation", "n_nationkey")}
-    assert {r.n_nationkey: (r.ca, r.ce) for r in run(spark, "coupling_all")} == want
-    assert {r.n_nationkey: r.score for r in run(spark, "hub_nodes_all")} == {n: a * b for n, (a, b) in want.items() if min(a, b) >= 3}
-    assert sum(r.nodes for r in run(spark, "instability_rank_all")) == len(want)
+    assert {r.n_nationkey: (r.ca, r.ce) for r in run(spark, "coupling")} == want
+    assert {r.n_nationkey: r.score for r in run(spark, "hub_nodes")} == {n: a * b for n, (a, b) in want.items() if min(a, b) >= 3}
+    assert sum(r.nodes for r in run(spark, "instability_rank")) == len(want)
 
 
 def test_calls_and_drift_see_every_customer(spark):
     c, s = load("customer", "c_custkey", "c_nationkey"), load("supplier", "s_suppkey", "s_nationkey")
-    assert sorted((r.src, r.dst) for r in run(spark, "call_resolution_all")) == sorted((f"c{k}", f"s{j}") for k, n in c for j, m in s if n == m)
+    assert sorted((r.src, r.dst) for r in run(spark, "call_resolution")) == sorted((f"c{k}", f"s{j}") for k, n in c for j, m in s if n == m)
     model, seen = {(f"s{n}", f"f{k % 17}") for k, n in s}, {(f"s{n}", f"f{k % 19}") for k, n in c}
     missing = {x for x in seen - model if x[0] in {m for m, _ in model}}
-    assert sorted(((r.model, r.field), r.kind) for r in run(spark, "schema_drift_all")) == sorted([(x, "unused") for x in model - seen] + [(x, "missing") for x in missing])
+    assert sorted(((r.model, r.field), r.kind) for r in run(spark, "schema_drift")) == sorted([(x, "unused") for x in model - seen] + [(x, "missing") for x in missing])
 
 
 def test_findings_and_lines_are_all_counted(spark):
     every = run(spark, "source_findings")
-    (gate,), (review,) = run(spark, "quality_gate_all"), run(spark, "project_review_all")
+    (gate,), (review,) = run(spark, "quality_gate"), run(spark, "project_review")
     n = Counter(r.severity for r in every)
     assert (gate.total, gate.high, gate.medium, gate.low) == (len(every), n["HIGH"], n["MEDIUM"], n["LOW"])
     assert (review.high, review.medium, review.low) == (n["HIGH"], n["MEDIUM"], n["LOW"])
-    at = {(r.doc_id, r.line) for r in run(spark, "fingerprint_all")}
+    at = {(r.doc_id, r.line) for r in run(spark, "fingerprint")}
     assert {(i, k + 1) for i, t in load("documents", "doc_id", "text") for k, x in enumerate((t or "").split("\n")) if x.strip() and not x.strip().startswith(("#", "//"))} <= at
 
 
