@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parts_for, scratch, table
+from .common import in_small_batches, parts_for, scratch, table
 
 SCHEMA = "shard int, row long, doc_id long, n_tokens long, ids array<int>"
 #: Writer settings: 16 MB row groups, 64 KB pages, dictionaries for ids, delta coding (format 2) elsewhere.
@@ -27,7 +27,7 @@ FORMAT = {
     "parquet.writer.version": "PARQUET_2_0", "parquet.dictionary.page.size": str(1 << 20), "parquet.page.row.count.limit": "1000",
 }
 #: Encoded words that a worker remembers, and again as many that it knew before.
-REMEMBERED = 350_000
+REMEMBERED = 600_000
 #: Stands between new words that are encoded together.
 MARK, WORDS_A_CALL = "\x01", 100
 #: Rows whose words are told apart together.
@@ -161,6 +161,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
     Every row is written, repeated ones too. A null or empty text has the end id alone; long texts are whole. Other columns are
     ignored. No rows: an empty table.
     """
+    docs = in_small_batches(docs)
     n, key = parts_for(docs, PART_BYTES, 1 << 20), F.xxhash64("text")
     docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id", key).sortWithinPartitions("doc_id", key)
     out = docs.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_encode(tokenizer, end), SCHEMA)
