@@ -24,7 +24,7 @@ from .common import in_small_batches, table
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 BPE, UNIGRAM = 2, 1
 
