@@ -28,3 +28,30 @@ with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') as
  every as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from w),
  kept as (select doc_id, string_agg(word, ' ' order by p) as s, count(*) as n from every anti join gone using (doc_id, p) group by 1)
 select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+URL_FILTERS = f"""
+with cut as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') as host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path, translate(url, '{UPPER}', '{LOWER}') as low from pages),
+ ruled as (select *, case when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+   when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+   when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+   when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from cut),
+ fits as (select *, case when regexp_matches(low, '^[^/?#]*?://([^/?#]*[.])?example[.]org/(?s:.*)/about([^a-z0-9_.%-]|$)') then '||example.org/*/about^'
+   when regexp_matches(low, '([^a-z0-9_.%-])affiliate[^a-z0-9_.%-].*([^a-z0-9_.%-])click([^a-z0-9_.%-]|$)') then '^affiliate^*^click^'
+   when regexp_matches(low, '[^a-z0-9_.%-]doubleclick([^a-z0-9_.%-]|$)') then '^doubleclick^'
+   when contains(low, '/wp-login.php') then '/wp-login.php'
+   when regexp_matches(low, '^[^/?#]*?://([^/?#]*[.])?cheap-pills[.]') then '||cheap-pills.'
+   when regexp_matches(low, '^[^/?#]*?://([^/?#]*[.])?ads-track.*[.]') then '||ads-track*.'
+   when regexp_matches(low, '^[^/?#]*?://([^/?#]*[.])?spam-farm[.]') then '||spam-farm.'
+   when regexp_matches(low, '^[^/?#]*?://([^/?#]*[.])?free-bets[.]') then '||free-bets.'
+   when regexp_matches(low, '[^a-z0-9_.%-]sessionid=') then '^sessionid='
+   when regexp_matches(low, '^[^/?#]*?://([^/?#]*[.])?adult-.*[.]') then '||adult-*.'
+   when regexp_matches(low, '^[^/?#]*?://([^/?#]*[.])?casino-') then '||casino-'
+   when contains(low, 'viagra') then '*viagra*'
+   when regexp_matches(low, '-casino([^a-z0-9_.%-]|$)') then '-casino^'
+   when regexp_matches(low, '[^a-z0-9_.%-]gclid=') then '^gclid='
+   when starts_with(low, 'ftp://') then '|ftp://'
+   when ends_with(low, '.apk') then '.apk|'
+   when ends_with(low, '.exe') then '.exe|' end as p from ruled)
+select page_id, host, path, rule, case when rule is null then p end as pattern,
+ case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' when p is null or p = '||example.org/*/about^' then 'allow' else 'block' end as verdict from fits"""
