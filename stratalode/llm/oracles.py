@@ -55,3 +55,21 @@ with cut as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.
    when ends_with(low, '.exe') then '.exe|' end as p from ruled)
 select page_id, host, path, rule, case when rule is null then p end as pattern,
  case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' when p is null or p = '||example.org/*/about^' then 'allow' else 'block' end as verdict from fits"""
+
+DIVERGENCE = f"""
+with d as (select coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row from documents),
+ w as (select lang, source, row, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+ kept as (select lang, term from w group by 1, 2 having count(distinct row) >= 10),
+ v as (select lang, count(*) as v from kept group by 1),
+ g as (select distinct lang, source from d),
+ n as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by 1, 2, 3),
+ full as (select lang, source, term, coalesce(n, 0) as n from g join kept using (lang) left join n using (lang, source, term)),
+ p as (select lang, source, term, n, 1 + (1000000000 * (n + 2)::hugeint) // (sum(n) over (partition by lang, source) + 2 * v) as p from full join v using (lang)),
+ l as (select lang, term, sum(n) as n from n group by 1, 2),
+ q as (select lang, term, 1 + (1000000000 * (n + 2)::hugeint) // (sum(n) over (partition by lang) + 2 * v) as q from l join v using (lang)),
+ pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b using (lang, term) where a.source <> b.source group by 1, 2, 3),
+ terms as (select lang, source, term as item, ((p - q) * (p - q)) // (p + q) as value from p join q using (lang, term) where n > 0 and p > q),
+ every as (select lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b using (lang) left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source where a.source <> b.source
+   union all select lang, source, 'term', item, value::bigint from terms),
+ ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every)
+select * from ranked where part = 'pair' or rank <= 10"""
