@@ -28,7 +28,7 @@ def translated(texts: pa.Array, table: bytes) -> pa.Array:
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
     own = memoryview(data)[int(at[0]) : int(at[-1])].tobytes().translate(table) if len(texts) and data else b""
-    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(at - at[:1].sum())), pa.py_buffer(own))
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(own))
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -63,8 +63,8 @@ with d as (select coalesce(text, '') as text, coalesce(lang, '') as lang, coales
  v as (select lang, count(*) as v from kept group by 1),
  g as (select distinct lang, source from d),
  n as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by 1, 2, 3),
- full as (select lang, source, term, coalesce(n, 0) as n from g join kept using (lang) left join n using (lang, source, term)),
- p as (select lang, source, term, n, 1 + (1000000000 * (n + 2)::hugeint) // (sum(n) over (partition by lang, source) + 2 * v) as p from full join v using (lang)),
+ each as (select lang, source, term, coalesce(n, 0) as n from g join kept using (lang) left join n using (lang, source, term)),
+ p as (select lang, source, term, n, 1 + (1000000000 * (n + 2)::hugeint) // (sum(n) over (partition by lang, source) + 2 * v) as p from each join v using (lang)),
  l as (select lang, term, sum(n) as n from n group by 1, 2),
  q as (select lang, term, 1 + (1000000000 * (n + 2)::hugeint) // (sum(n) over (partition by lang) + 2 * v) as q from l join v using (lang)),
  pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b using (lang, term) where a.source <> b.source group by 1, 2, 3),
