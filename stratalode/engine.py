@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import code, detectors, facts, filters, fixers, matching, offsets, relational, rollups, sinks
+from .operators import code, detectors, facts, filters, fixers, graph, matching, offsets, relational, rollups, sinks
 from .operators.rules import RULES
 from .sources import documents, tree
 from .sources.documents import ScanConfig
@@ -59,8 +59,15 @@ class Engine:
     def call_graph(self) -> DataFrame:
         return code.call_nodes(self.fact("functions"), code.call_edges(self.fact("functions"), self.fact("calls")))
 
-    def circular_calls(self, most: int = 6) -> DataFrame:
-        return relational.cycles(code.call_edges(self.fact("functions"), self.fact("calls")), most)
+    def circular_calls(self, most: int | None = None) -> DataFrame:
+        """Cycles of any length; see call_components() where there are very many."""
+        return graph.circular(code.call_edges(self.fact("functions"), self.fact("calls")), most)
+
+    def call_components(self) -> DataFrame:
+        return graph.components(code.call_edges(self.fact("functions"), self.fact("calls")))
+
+    def module_cycles(self, full: bool = False, most: int | None = None) -> DataFrame:
+        return graph.circular(code.module_edges(self.fact("imports"), self.files(), full), most)
 
     def coupling(self, full: bool = False) -> DataFrame:
         e = code.module_edges(self.fact("imports"), self.files(), full)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_relative, module_name, parent, route, route_key
-from . import relational
+from . import containment, relational
 
 # Function names that are called from outside.
 EXEMPT = ("main", "setUp", "tearDown", "setUpClass", "tearDownClass", "setUpModule", "tearDownModule")
@@ -54,8 +54,8 @@ def unused_imports(imports: DataFrame, names: DataFrame, strings: DataFrame) ->
     own = imports.where("module != '__future__' and bound != '*'").groupBy("rel", "bound").agg(F.max("line").alias("line"), F.max_by("module", "line").alias("module"))
     used = names.select("rel", F.col("name").alias("bound")).distinct()
     left = own.join(used, ["rel", "bound"], "left_anti")
-    said = strings.select(F.col("rel").alias("r"), "value").distinct()
-    return left.join(said, (F.col("rel") == F.col("r")) & F.col("value").contains(F.col("bound")), "left_anti")
+    said = containment.pairs(strings, "value", left, "bound", by=("rel",))
+    return left.join(said, ["rel", "bound"], "left_anti")
 
 
 def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -159,4 +159,5 @@ def missing_packages(imports: DataFrame, declared: DataFrame, local: DataFrame,
     top = top.where(~F.col("package").isin([s.replace("_", "-") for s in standard]))
     top = top.join(local.select(package(F.col("module")).alias("package")).distinct(), "package", "left_anti")
     d = declared.select(F.col("package").alias("p")).where("p != ''").distinct()
-    return top.join(d, F.col("package").contains(F.col("p")) | F.col("p").contains(F.col("package")), "left_anti")
+    held = containment.pairs(top, "package", d, "p").select("package").union(containment.pairs(d, "p", top, "package").select("package"))
+    return top.join(held, "package", "left_anti")

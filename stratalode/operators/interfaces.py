@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import route
-from . import relational
+from . import containment, relational
 
 SCRIPTS = "ext in ('js', 'jsx', 'ts', 'tsx', 'vue', 'svelte')"
 # Calls in scripts, fields read, taken apart and sent around them; declared endpoints; what tests mention.
@@ -38,9 +38,9 @@ def script_fields(lines: DataFrame) -> DataFrame:
 
 
 def endpoint_models(routes: DataFrame, models: DataFrame) -> DataFrame:
-    """url, model for endpoints whose next 30 lines name a model; the last place of a route counts. Models are few, so they are the broadcast side if Spark sees that."""
+    """url, model for endpoints whose next 30 lines name a model; the last place of a route counts."""
     last = routes.groupBy("url").agg(F.max_by("context", F.struct("rel", "line")).alias("context"))
-    return last.join(models.select("model").distinct(), F.col("context").contains(F.col("model"))).select("url", "model")
+    return last.join(containment.pairs(last, "context", models, "model"), "context").select("url", "model")
 
 
 def declared_endpoints(lines: DataFrame) -> DataFrame:

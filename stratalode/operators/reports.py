@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import grade
+from . import containment
 from .rollups import by_severity
 
 # How a declared component shows in code; group 1 is its name.
@@ -104,18 +105,10 @@ def coupling_summary(healthy: DataFrame) -> DataFrame:
     return healthy.agg(F.count(F.lit(1)).alias("modules"), F.bround(F.avg("instability"), 2).alias("avg_instability"), *counts)
 
 
-def has_test(functions: DataFrame, test_files: DataFrame, most: int = 100_000) -> DataFrame:
-    """Adds has_test: whether the function's name is part of a test file's path.
-
-    A substring has no join key, so names meet the distinct paths, which are broadcast up to `most` and taken in slices beyond."""
-    paths = test_files.select(F.col("rel").alias("__p")).distinct()
-    slices = max(1, -(-paths.count() // most))
-    names, found = functions.select("name").distinct(), None
-    for i in range(slices):
-        part = paths.where(F.pmod(F.xxhash64("__p"), F.lit(slices)) == i)
-        got = names.join(F.broadcast(part), F.col("__p").contains(F.col("name")), "left_semi")
-        found = got if found is None else found.union(got).distinct()
-    return functions.join(found.select(F.col("name").alias("__n")), F.col("name") == F.col("__n"), "left").withColumn("has_test", F.col("__n").isNotNull()).drop("__n")
+def has_test(functions: DataFrame, test_files: DataFrame) -> DataFrame:
+    """Adds has_test: whether the function's name is part of a test file's path."""
+    found = containment.pairs(test_files, "rel", functions, "name").select(F.col("name").alias("__n")).distinct()
+    return functions.join(found, F.col("name") == F.col("__n"), "left").withColumn("has_test", F.col("__n").isNotNull()).drop("__n")
 
 
 def stub_coverage(functions: DataFrame) -> DataFrame:

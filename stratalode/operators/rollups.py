@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import cut_to, grade
+from . import ordered
 
 
 def by_severity(severity: Column, high: object, medium: object, low: object, other: object) -> Column:
@@ -76,17 +77,34 @@ def review(findings: DataFrame, smells: Column | None = None, dead: Column | Non
     return c.withColumn("minutes", (F.coalesce("minutes", F.lit(0)) + extra).cast("long"))
 
 
-def sprint_batches(tasks: DataFrame, key: str) -> DataFrame:
-    """Tasks by return (impact over minutes), their running minutes and the batch these fall in; ties by key."""
-    df = tasks.withColumn("minutes", by_severity(F.col("severity"), 15, 5, 10, 10)).withColumn("impact", by_severity(F.col("severity"), 10, 4, 1, 2))
-    df = df.withColumn("roi", F.bround(F.col("impact") / F.col("minutes"), 2))
-    order = Window.orderBy(F.desc("roi"), key)
-    before = F.sum("minutes").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("running", before.cast("long"))
+def action_items(findings: DataFrame, smells: DataFrame | None = None) -> DataFrame:
+    """type, id, rel, line, severity, minutes, impact, roi of everything there is to do: findings (rule_id) and smells (smell)."""
+    f = findings.select(F.lit("finding").alias("type"), F.col("rule_id").alias("id"), "rel", "line", "severity", rule_minutes(F.col("rule_id")).alias("minutes"), by_severity(F.col("severity"), 10, 4, 1, 2).alias("impact"))
+    if smells is not None:
+        f = f.unionByName(smells.select(F.lit("smell").alias("type"), F.col("smell").alias("id"), "rel", "line", "severity", F.lit(15).alias("minutes"), by_severity(F.col("severity"), 8, 3, 1, 2).alias("impact")))
+    return f.withColumn("roi", F.bround(F.col("impact") / F.col("minutes"), 2))
+
+
+def rule_minutes(rule_id: Column) -> Column:
+    return F.when(rule_id.startswith("SEC-"), 15).when(rule_id.startswith("QUAL-"), 5).otherwise(10)
+
+
+def sprint_batches(items: DataFrame, order: tuple[str, ...] = ("-roi", "type", "id", "rel", "line")) -> DataFrame:
+    """Items with the running minutes down to each, best return first, their place in that order and the batch that these fall in."""
+    df = ordered.running(items, list(order), "minutes", "running", "place").withColumn("running", F.col("running").cast("long"))
     batch = F.when(F.col("running") <= 240, "now").when(F.col("running") <= 480, "next").when(F.col("running") <= 960, "later").otherwise("backlog")
     return df.withColumn("batch", batch)
 
 
+def batch_summary(batched: DataFrame) -> DataFrame:
+    """batch, items, minutes, hours and the share of all items resolved once it is done; a row for each of the four."""
+    of = batched.groupBy("batch").agg(F.count("*").alias("items"), F.sum("minutes").cast("long").alias("minutes"))
+    names = batched.sparkSession.createDataFrame([(0, "now"), (1, "next"), (2, "later"), (3, "backlog")], "at int, batch string")
+    df = names.join(of, "batch", "left").select("at", "batch", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("minutes", F.lit(0)).alias("minutes"))
+    done, all_ = F.sum("items").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)), F.sum("items").over(Window.partitionBy())  # four rows
+    return df.select("batch", "items", "minutes", F.bround(F.col("minutes") / 60.0, 1).alias("hours"), F.bround(100.0 * done / F.greatest(all_, F.lit(1)), 0).cast("long").alias("pct_resolved"))
+
+
 def batch_totals(tasks: DataFrame) -> DataFrame:
     """The same batches without ordering rows: tasks of one roi are alike, so each class is cut by arithmetic.
 
@@ -124,13 +142,16 @@ def calibrate(rows: DataFrame, false_rate: Column, ast: Column, context: Column,
 
 def remediation(findings: DataFrame) -> DataFrame:
     """Minutes and hours to fix: security 15, quality 5, others 10 each."""
-    m = F.when(F.col("rule_id").startswith("SEC-"), 15).when(F.col("rule_id").startswith("QUAL-"), 5).otherwise(10)
-    return findings.agg(F.sum(m).alias("minutes")).select(F.coalesce("minutes", F.lit(0)).cast("long").alias("minutes"), F.bround(F.coalesce("minutes", F.lit(0)) / 60.0, 1).alias("hours"))
+    return findings.agg(F.sum(rule_minutes(F.col("rule_id"))).alias("minutes")).select(F.coalesce("minutes", F.lit(0)).cast("long").alias("minutes"), F.bround(F.coalesce("minutes", F.lit(0)) / 60.0, 1).alias("hours"))
 
 
-def plan(findings: DataFrame, most: int = 25) -> DataFrame:
-    """The order to fix in: severity, confidence, safe fixes first, rule, file, line."""
-    return findings.orderBy(by_severity(F.col("severity"), 0, 1, 2, 9), F.desc("confidence"), F.when(F.col("tier") == "safe", 0).otherwise(1), "rule_id", "rel", "line").limit(most)
+def plan(findings: DataFrame, most: int | None = None) -> DataFrame:
+    """The order to fix in: severity, confidence, safe fixes first, rule, file, line; the first `most`, or all with their place in it."""
+    keys = {"__severity": by_severity(F.col("severity"), 0, 1, 2, 9), "__tier": F.when(F.col("tier") == "safe", 0).otherwise(1)}
+    order, df = ["__severity", "-confidence", "__tier", "rule_id", "rel", "line"], findings.withColumns(keys)
+    if most is None:
+        return ordered.running(df.withColumn("__one", F.lit(1)), order, "__one", "__total", "place").drop("__one", "__total", *keys)
+    return df.orderBy(*[F.desc(o[1:]) if o.startswith("-") else F.asc(o) for o in order]).limit(most).drop(*keys)
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -56,9 +56,8 @@ def test_components_and_tests(spark):
     got = {r.name: (r.rel, r.line, r.severity) for r in reports.contract_components(lines, wanted).collect()}
     assert got == {"Menu": ("a.js", 1, None), "side-bar": ("a.js", 2, None), "top": ("a.js", 2, None), "Gone": (None, None, "MEDIUM")}
     f, t = spark.createDataFrame([("load",), ("save",)], "name string"), spark.createDataFrame([("tests/test_load.py",), ("tests/b.py",)], "rel string")
-    for most in (100, 1):
-        got = reports.has_test(f, t, most)
-        assert {r.name: r.has_test for r in got.collect()} == {"load": True, "save": False}
+    got = reports.has_test(f, t)
+    assert {r.name: r.has_test for r in got.collect()} == {"load": True, "save": False}
     assert tuple(reports.stub_coverage(got).first()) == (2, 1, 1, 50.0)
 
 
