@@ -25,11 +25,12 @@ def from_log(states: DataFrame, key: str, at: str) -> DataFrame:
     return s.where(F.col("__p").isNull() | (F.col("digest") != F.col("__p"))).select(key, at, change.alias("change"))
 
 
-def watch(listings: DataFrame, snapshot: str, on_change, checkpoint: str, quiet_seconds: float = 1.0):
+def watch(listings: DataFrame, snapshot: str, on_change, checkpoint: str, quiet_seconds: float = 1.0, announce_first: bool = True):
     """Starts a stream over listings; each poll is compared with the snapshot table at `snapshot`, then replaces it.
 
-    Deletions show as absence, so a batch is compared whole. on_change(changes, batch_id) gets the
-    changes; the trigger interval is the debounce: what arrives within it is one batch.
+    Deletions show as absence, so a batch is compared whole. on_change(changes, batch_id) gets the changes; a batch that is
+    replayed hands on the same ones under the same number. What arrives within the trigger interval is one batch; for a quiet
+    time of each file see debounce. Without announce_first the first listing is the state from which changes count, and hands on none.
     """
     spark = listings.sparkSession
 
@@ -43,8 +44,17 @@ def watch(listings: DataFrame, snapshot: str, on_change, checkpoint: str, quiet_
             now = before if before is not None else now
         elif before is not None:
             on_change(between(before, now), batch_id)
-        else:
+        elif announce_first:
             on_change(between(now.limit(0), now), batch_id)
         now.write.mode("overwrite").parquet(f"{snapshot}/v{batch_id}")
 
     return listings.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint).trigger(processingTime=f"{quiet_seconds} seconds")
+
+
+def recorder(path: str):
+    """An on_change that writes changes to `path` by batch, for a stream to read: rel, change, at."""
+
+    def record(changes: DataFrame, batch_id: int) -> None:
+        changes.select("rel", "change", F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").json(f"{path}/batch={batch_id}")
+
+    return record
