@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import tempfile
 import uuid
 
@@ -91,9 +92,17 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def text_bytes(df: DataFrame) -> int:
+    """The bytes of df: of files those that the planner has read from them, of any other plan, where its estimates may be off by any factor, those of the texts, counted."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if all(re.match(r"[ :+|-]*(Project|Filter|Relation)\b", line) for line in plan.strip().split("\n")):
+        return plan_bytes(df)
+    return df.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+
+
 def parts_for(df: DataFrame, each: int, few: int) -> int:
     """How many parts to deal df to, by its bytes: one for every `each`, but of few bytes as many as there are shuffle partitions, up to `few`."""
-    return max(-(-plan_bytes(df) // each), min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), few), 1)
+    return max(-(-text_bytes(df) // each), min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), few), 1)
 
 
 def by_part(df: DataFrame, n: int) -> GroupedData:

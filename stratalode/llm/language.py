@@ -161,15 +161,34 @@ def identify(rows: DataFrame, model: Model, key: str) -> DataFrame:
     return df.select(key, F.when((F.col("n_trigrams") > 0) & (top >= 0.5), name).alias("lang"), top.alias("confidence"), "n_trigrams")
 
 
+MARKUP = r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;"
+#: What opens and what closes a stretch, and what the opener becomes where nothing closes it any more.
+STRETCHES = [("<!--", "-->", "<! --"), (r"(?i)<(?=script\b)", "</script>", "< "), (r"(?i)<(?=style\b)", "</style>", "< "), ("<", ">", " ")]
+
+
+def visible(pages: DataFrame, html: str) -> DataFrame:
+    """pages with column `html` without its markup, scripts and styles, in time proportional to its length.
+
+    MARKUP would run to the end of the page from every opener that nothing closes. So openers after the last closer of their kind are
+    made plain first; what they would match then is what they match now, a tag or nothing.
+    """
+    for opener, closer, plain in STRETCHES:
+        pages = pages.withColumn("__head", F.regexp_extract(html, f"(?is)^(.*{closer})", 1))
+        tail = F.substring(html, F.length("__head") + 1, F.length(html))
+        pages = pages.withColumn(html, F.concat("__head", F.regexp_replace(tail, opener, plain))).drop("__head")
+    return pages.withColumn(html, F.regexp_replace(html, MARKUP, " "))
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     """page_id, text (markup, scripts and styles taken out), declared language, host and address suffix.
 
-    A null html is a null text that declares nothing; a null or unreadable url has an empty host and suffix.
+    A null html is a null text that declares nothing; a null or unreadable url has an empty host and suffix. A very long or broken page takes
+    time in proportion to its length.
     """
-    body = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;", " ")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*\blang=[\"']?([a-zA-Z]{2})", 1))
-    return pages.select("page_id", body.alias("text"), declared.alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"))
+    declared = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^<>]*\blang=[\"']?([a-zA-Z]{2})", 1))
+    pages = pages.select("page_id", F.col("html").alias("text"), declared.alias("declared"), host.alias("host"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"))
+    return visible(pages, "text")
 
 
 def op7_language_id(spark, sf_dir):

@@ -11,6 +11,7 @@ always stay.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -35,13 +36,15 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 GENERATORS = {
-    # local parts and keys have no upper length: a run is taken whole, and only `at` inside a run needs steps back
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*+(?:[ ]?(?:\[at\]|\(at\))|[ ]at\b)|[A-Za-z0-9._%+-]*\bat\b)[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\[dot\]|\(dot\)|\bdot\b)[ ]?[A-Za-z0-9-]+)+", re.I),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[./_-][0-9]{4}){2,3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "identity": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,4})?\b"),
     "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+"),
 }
+#: Of addresses that are spelled out: where one may begin, the signs of its two parts, and what stands for the two separators.
+BEGIN, LOCALS, HOSTS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+"), re.compile(r"[A-Za-z0-9._%+-]++"), re.compile(r"[A-Za-z0-9-]++")
+AT, AT_WITHIN = re.compile(r"(?i:[ ]?(?:\[at\]|\(at\))|[ ]at\b)[ ]?"), re.compile(r"(?i)\bat\b")
+DOT, DOT_WITHIN = re.compile(r"(?i:[ ]?(?:\[dot\]|\(dot\)|\bdot\b))[ ]?(?=[A-Za-z0-9-])"), re.compile(r"(?i)\bdot\b")
 #: Runs of digit groups with single separators; the national numbers of a run begin at its start, a bracket or a leading 0.
 GROUPS = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]++\)?(?:(?: ?[/.-] ?| )\(?[0-9]++\)?)*+")
 GROUP = re.compile(r"\(?([0-9]+)\)?")
@@ -91,6 +94,65 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def spelled(text: str):
+    """Spans of addresses with their separators in words, in linear time: `name at host dot org`, `name[at]host[dot]org`, `name-at-host-dot-org`.
+
+    Of a run of local signs the last `at` counts after which a host with a separator follows. Runs of host signs and the `dot`s
+    within them are found once; for a run, whether separators follow it and how far they lead is kept.
+    """
+    ends, dots, leads = [], [], {}
+    for m in HOSTS.finditer(text):
+        ends.append(m.span())
+    dots = [m.start() for m in DOT_WITHIN.finditer(text)]
+    firsts = [x for x, _ in ends]
+
+    def beyond(e: int) -> int:
+        """Where the separators and hosts that follow a host's end at e end; e itself if none do."""
+        way = []
+        while e not in leads:
+            way.append(e)
+            m = DOT.match(text, e)
+            if not m:
+                leads[e] = e
+            else:
+                e = ends[bisect.bisect_right(firsts, m.end()) - 1][1]
+        for x in way:
+            leads[x] = leads[e]
+        return leads[e]
+
+    def host(p: int) -> int:
+        """Where the host with a separator that begins at p ends, or -1."""
+        k = bisect.bisect_right(firsts, p) - 1
+        if k < 0 or p >= ends[k][1]:
+            return -1
+        e = ends[k][1]
+        if (out := beyond(e)) > e:
+            return out
+        i = bisect.bisect_left(dots, e) - 1
+        while i >= 0 and dots[i] > p:
+            after = dots[i] + 3
+            if after < e:
+                return e
+            if text[after : after + 1] == " " and (m := HOSTS.match(text, after + 1)):
+                return beyond(m.end())
+            i -= 1
+        return -1
+
+    at = 0
+    while run := BEGIN.search(text, at):
+        first, last = run.span()
+        found = host(m.end()) if (m := AT.match(text, last)) else -1
+        if found < 0:
+            for p in reversed([m.start() for m in AT_WITHIN.finditer(text, first + 1, last)]):
+                if p > first and not (text[p - 1].isalnum() or text[p - 1] == "_") and (p + 2 < last or not text[last : last + 1].isalnum()):
+                    found = host(p + 3 if p + 2 == last and text[last : last + 1] == " " else p + 2)
+                    if found >= 0:
+                        break
+        if found >= 0:
+            yield first, found
+        at = max(found, last)
+
+
 def national(text: str):
     """Spans of 7 to 15 digits in whole groups that a phone number without country code may have, in linear time."""
     for run in GROUPS.finditer(text):
@@ -110,7 +172,8 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     kinds = [k for k, ok in (("email", NEEDS["email"]), ("secret", NEEDS["secret"])) if ok.search(text)]
     if NEEDS["digit"].search(text):
         kinds += ["card", "phone", "identity"]
-    out = [(k, *m.span()) for k in kinds for m in GENERATORS[k].finditer(text)]
+    out = [("email", a, b) for a, b in spelled(text)] if "email" in kinds else []
+    out += [(k, *m.span()) for k in kinds if k in GENERATORS for m in GENERATORS[k].finditer(text)]
     if "phone" in kinds:
         have = set(out)
         out += [c for a, b in national(text) if (c := ("phone", a, b)) not in have]
@@ -289,11 +352,17 @@ def spans_of(texts: list[str], fitted: Model) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     found = [(i, *c) for i, t in enumerate(texts) for c in proposals(t)]
     added: list[list] = [[] for _ in texts]
+    taken: dict[int, bytearray] = {}
     if found:
         p = fitted.probability(fitted.trees.score(np.array([features(texts[i], k, a, b) for i, k, a, b in found])))
         for q, (i, k, a, b) in sorted(zip(p.tolist(), found, strict=True), key=lambda x: (-x[0], x[1])):
-            if q >= fitted.at.get(k, 2.0) and not any(a < d and c < b for _, c, d in base[i] + added[i]):
+            if i not in taken:
+                taken[i] = bytearray(len(texts[i]))
+                for _, c, d in base[i]:
+                    taken[i][c:d] = b"\1" * (d - c)
+            if q >= fitted.at.get(k, 2.0) and taken[i].find(1, a, b) < 0:
                 added[i].append((k, a, b))
+                taken[i][a:b] = b"\1" * (b - a)
     order = lambda s: (KINDS.index(s[0]), s[1])
     return [(b, sorted(b + a, key=order)) for b, a in zip(base, added, strict=True)]
 

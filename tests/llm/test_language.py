@@ -1,7 +1,9 @@
 """Language identification against a plain Bayesian computation, on pages and documents, and its accuracy on texts it did not see."""
 
 import math
+import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -112,3 +114,19 @@ def test_copies_do_not_fill_the_sample(spark):
     some = language.fit(spark.createDataFrame(rows, "text string, lang string"), 3)
     assert some.langs == model.langs and not np.allclose(some.log, model.log)
     assert language.fit(spark.createDataFrame([], "text string, lang string")).langs == []
+
+
+def test_pages_lose_their_markup_in_linear_time(spark):
+    rng = random.Random(4)
+    parts = ["<!--", "-->", "<script", "<SCRIPT>", "</script>", "</Script>", "<style a>", "</style>", "<", ">", "&amp;", "&x", "a", "b ", "<p>", "</p>", "\n", "<scripty>", "--", "é"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(18))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in pages] + [(None,)], "html string")
+    got = [r.html for r in language.visible(df, "html").collect()]
+    want = [r.t for r in df.select(F.regexp_replace("html", language.MARKUP, " ").alias("t")).collect()]
+    letters = lambda t: None if t is None else re.sub(r"[^a-zé]+", " ", t.lower())
+    assert [letters(t) for t in got] == [letters(t) for t in want]
+    began = time.time()
+    for text in ("<!--", "<script>", "<style>", "<", "<script", "</script><script>", "<!-->", "&a", "<script>a</script", "<!--<script>-->"):
+        long = spark.createDataFrame([(text * (1_000_000 // len(text)),)], "html string")
+        assert language.visible(long, "html").count() == 1 and language.visible(long, "html").first() is not None
+    assert time.time() - began < 60
