@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import code, detectors, facts, filters, fixers, graph, matching, offsets, relational, rollups, sinks
+from .operators import code, connections, detectors, facts, filters, fixers, graph, matching, offsets, relational, rollups, sinks
 from .operators.rules import RULES
 from .sources import documents, tree
 from .sources.documents import ScanConfig
@@ -94,6 +94,9 @@ class Engine:
     def connections(self) -> DataFrame:
         return relational.wiring(code.ui_calls(self.files()), code.server_routes(self.files()), "route")
 
+    def connection_places(self) -> DataFrame:
+        return connections.connected(code.ui_calls(self.files()), code.server_routes(self.files()))
+
     def orphan_map(self) -> DataFrame:
         return code.orphans(code.ui_calls(self.files()), code.server_routes(self.files()))
 

@@ -5,22 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_relative, module_name, parent, route, route_key
+from ..functions.text import module_name, parent, route, route_key
 from . import containment, relational
+from .connections import server_routes, ui_calls  # noqa: F401  the two sides of orphans()
 
 # Function names that are called from outside.
 EXEMPT = ("main", "setUp", "tearDown", "setUpClass", "tearDownClass", "setUpModule", "tearDownModule")
 EXEMPT_PREFIXES = ("test_", "on_", "handle_", "do_", "setup_", "teardown_", "_")
-# Call patterns of user interfaces and route patterns of servers; group 1 is the path.
-CALLS = [
-    (r"""fetch\(\s*['"`]([^'"`\s]+)['"`]""", "fetch"), (r"""axios\.(?:get|post|put|delete|patch)\(\s*['"`]([^'"`\s]+)['"`]""", "axios"), (r"""\$\.(?:ajax|get|post)\(\s*['"`]([^'"`\s]+)['"`]""", "jquery"),
-    (r"""api\(\s*['"`]([^'"`\s]+)['"`]""", "api"), (r"""XMLHttpRequest[^;]*\.open\(\s*['"][^'"]*['"]\s*,\s*['"]([^'"]+)['"]""", "xhr"), (r"""action\s*=\s*['"]([^'"]+)['"]""", "form_action"), (r"""href\s*=\s*['"](/api/[^'"]+)['"]""", "href"),
-]
-ROUTES = [
-    (r"""@\w+\.route\(\s*['"]([^'"]+)['"]""", "flask"), (r"""@\w+\.(?:get|post|put|delete|patch)\(\s*['"]([^'"]+)['"]""", "fastapi"), (r"""(?:^|,)\s*path\(\s*['"]([^'"]+)['"]""", "django"), (r"""re_path\(\s*['"]([^'"]+)['"]""", "django"),
-    (r"""(?:app|router)\.(?:get|post|put|delete|patch|all|use)\(\s*['"]([^'"]+)['"]""", "express"), (r"""path\s*==\s*['"]([^'"]+)['"]""", "equality"),
-]
-METHOD = r"(?i)(?:method|methods)\s*[:=]\s*['\"\[]*\s*(GET|POST|PUT|DELETE|PATCH)"
+# Event calls of sockets.
 EMIT, LISTEN = r"""(?i)(?:socket|ws|io)\s*\.\s*emit\s*\(\s*['"]([^'"]+)['"]""", r"""(?i)(?:socket|ws|io)\s*\.\s*on\s*\(\s*['"]([^'"]+)['"]"""
 
 
@@ -94,30 +86,6 @@ def layers(files: DataFrame, imports: DataFrame) -> DataFrame:
     return m.unionByName(ext.select("module", F.lit(None).cast("string").alias("dir"), F.lit("external").alias("layer")))
 
 
-def _found(files: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    """rel, url, kind, context for all matches of all patterns, by one explode."""
-    def one(pattern: str, kind: str):
-        return F.transform(F.regexp_extract_all("content", F.lit(f"(?m){pattern}"), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("url"), F.lit(kind).alias("kind"), m.alias("text")))
-
-    got = F.flatten(F.array(*[one(p, k) for p, k in patterns]))
-    return files.select("rel", "content", F.explode(got).alias("g")).select("rel", "g.url", "g.kind", F.substring("content", F.greatest(F.instr("content", F.col("g.text")) - 100, F.lit(1)), F.lit(200) + F.length("g.text")).alias("context"))
-
-
-def ui_calls(files: DataFrame) -> DataFrame:
-    """Relative calls of script and markup files, with method and normal route."""
-    rows = _found(files.where("ext in ('js', 'jsx', 'ts', 'tsx', 'html', 'htm', 'vue')"), CALLS).where(is_relative(F.col("url")))
-    hint = F.upper(F.regexp_extract("context", METHOD, 1))
-    method = F.when(hint != "", hint).when((F.col("kind") == "form_action") | F.col("kind").contains("post"), "POST").otherwise("UNKNOWN")
-    return rows.select("rel", "url", "kind", method.alias("method"), route(F.col("url")).alias("route"))
-
-
-def server_routes(files: DataFrame) -> DataFrame:
-    rows = _found(files.where("ext in ('py', 'js', 'ts')"), ROUTES)
-    url = F.when(F.col("url").startswith("/"), F.col("url")).otherwise(F.concat(F.lit("/"), F.col("url")))
-    hint = F.upper(F.regexp_extract("context", METHOD, 1))
-    return rows.select("rel", url.alias("url"), "kind", F.when(hint != "", hint).otherwise("UNKNOWN").alias("method"), route(url).alias("route"))
-
-
 def orphans(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Routes of one side only by their other normal form: HIGH for writes of the interface, LOW for the server's."""
     c, r = calls.select(route_key(F.col("url")).alias("key"), "method"), routes.select(route_key(F.col("url")).alias("key"))

@@ -160,13 +160,13 @@ def drift(model: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, targets: DataFrame, key: str, around: int = 5) -> DataFrame:
-    """Digest of the code around each target line: comments off, lower case, blank lines out."""
+    """Digest of the code around each target line: comments off, lower case, blank lines out. A window of lines, so a text is sorted once."""
     from ..functions.text import normal_line
 
-    near = targets.select(key, F.col("line").alias("target")).join(lines, key).where(F.col("line").between(F.col("target") - around, F.col("target") + around))
-    near = near.select(key, "target", "line", normal_line(F.col("text")).alias("t")).where("t != ''")
-    got = near.groupBy(key, "target").agg(F.array_sort(F.collect_list(F.struct("line", "t"))).alias("ls"))
-    return got.select(key, F.col("target").alias("line"), F.sha2(F.array_join(F.transform("ls", lambda x: x["t"]), "\n"), 256).alias("context_hash"))
+    near = Window.partitionBy(key).orderBy("line").rangeBetween(-around, around)
+    said = lines.select(key, "line", normal_line(F.col("text")).alias("t")).withColumn("ls", F.collect_list(F.when(F.col("t") != "", F.col("t"))).over(near))
+    wanted = targets.select(key, F.col("line").cast("long").alias("line")).distinct()
+    return said.where(F.size("ls") > 0).join(wanted, [key, "line"], "left_semi").select(key, "line", F.sha2(F.array_join("ls", "\n"), 256).alias("context_hash"))
 
 
 def nth_occurrence(lines: DataFrame, key: str, scope: str) -> DataFrame:

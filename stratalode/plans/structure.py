@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import code, graph, interfaces, rollups
+from ..operators import code, connections, graph, interfaces, rollups
+from ..sources import tree
 from .corpus import FINDINGS, read, view_findings
 from .registry import query
 
@@ -84,3 +85,36 @@ def missing_packages(spark, d):
     imports = read(spark, d, "part").select(word("p_name").alias("module"), F.lit(False).alias("relative"))
     declared = read(spark, d, "documents").select(word("text").alias("package"))
     return code.missing_packages(imports, declared, spark.createDataFrame([], "module string"), [])
+
+
+PAD = "x" * 130
+
+
+def _ui(spark, d):
+    """A script for each nation with a call a customer; lines so far apart that none lies in another's context."""
+    c = read(spark, d, "customer").withColumn("path", F.expr("concat('/api/n', c_nationkey, '/c', c_custkey % 7)"))
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("fetch('"), "path", F.lit("?q=1', {method: 'post'}) // " + PAD))).otherwise(F.concat(F.lit("api('"), "path", F.lit("') // " + PAD)))
+    return c.select("c_nationkey", "c_custkey", text.alias("text")).groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "text"))), lambda x: x["text"]), "\n").alias("content")).selectExpr("concat('ui/n', c_nationkey, '.js') as rel", "content")
+
+
+def _server(spark, d):
+    """A module for each nation with a handler a supplier, of two lines."""
+    k = F.col("s_suppkey") % 3
+    s = read(spark, d, "supplier").withColumn("path", F.expr("concat('/api/n', s_nationkey, '/c', s_suppkey % 9)"))
+    head = F.when(k == 0, F.concat(F.lit("@app.route('"), "path", F.lit("/', methods=['PUT'])"))).when(k == 1, F.concat(F.lit("@app.get('"), "path", F.lit("')"))).otherwise(F.concat(F.lit("@app.route('"), "path", F.lit("')")))
+    body = F.when(F.col("s_suppkey") % 11 == 0, "def f(): return request.json").otherwise("def f(): pass")
+    text = F.concat(head, F.lit(" # " + PAD + "\n"), body, F.lit(" # " + PAD))
+    return s.select("s_nationkey", "s_suppkey", text.alias("text")).groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "text"))), lambda x: x["text"]), "\n").alias("content")).selectExpr("concat('server/n', s_nationkey, '.py') as rel", "content")
+
+
+@query("""with c as (select '/api/n' || c_nationkey || '/c' || c_custkey % 7 as url, 'ui/n' || c_nationkey || '.js' as rel, row_number() over (partition by c_nationkey order by c_custkey) as line, case when c_custkey % 2 = 0 then 'fetch' else 'api' end as kind, case when c_custkey % 2 = 0 then 'POST' else 'UNKNOWN' end as method from customer),
+ h as (select '/api/n' || s_nationkey || '/c' || s_suppkey % 9 as route, s_suppkey % 3 as k, 'server/n' || s_nationkey || '.py' as rel, 2 * row_number() over w - 1 as line, bool_or(s_suppkey % 11 = 0) over (w rows between current row and 14 following) as receives_input from supplier window w as (partition by s_nationkey order by s_suppkey)),
+ s as (select *, case when k = 0 then route || '/' else route end as url, case k when 0 then 'PUT' when 1 then 'GET' else 'ANY' end as method, unnest(case when k = 1 then ['fastapi', 'express'] else ['flask'] end) as kind from h),
+ b as (select url as route, 'ui' as side, rel, line, kind, url, method, null::boolean as receives_input from c union all select route, 'backend', rel, line, kind, url, method, receives_input from s),
+ n as (select route, count(*) filter (where side = 'ui') as u, count(*) filter (where side = 'backend') as v from b group by 1)
+ select route, case when v = 0 then 'orphan_ui' when u = 0 then 'orphan_backend' else 'wired' end as status, case when u > 0 and v > 0 then case when u = 1 and v = 1 then '1:1' when u > 1 then 'many:1' else '1:many' end end as cardinality,
+  side, rel, line::bigint as line, kind, url, method, receives_input from b join n using (route)""")
+def connection_places(spark, d):
+    """Calls and routes of generated scripts and modules, each with its place, method and what it is wired to."""
+    files = tree.from_table(_ui(spark, d).unionByName(_server(spark, d)), "rel", "content")
+    return connections.connected(connections.ui_calls(files), connections.server_routes(files))
