@@ -23,6 +23,8 @@ BITS = 3
 BLOCKS = 6
 #: Classes of a key that are compared with one another in one task.
 TILE = 2048
+#: Links in a written part of components.
+EDGES = 1_000_000
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -86,13 +88,17 @@ def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
     return tiles.groupBy("k", "v", "x", "y").applyInPandas(lambda pdf: _forest(pdf, bits), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node that has a link.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, component (its smallest node) for every node that has a link. With rows, the most that edges has, tables have a part for each EDGES of theirs.
 
     Alternates large and small stars. The smallest neighbour comes from an aggregate and a join,
     so a hub's neighbours never meet in one row.
     """
-    edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+
+    def parted(df: DataFrame, most: int | None) -> DataFrame:
+        return df if most is None else df.coalesce(1 + most // EDGES)
+
+    edges = stored(parted(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows), "links")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -103,11 +109,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         linked = down.join(least, "a")
         small = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(linked.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges = stored(small, "stars")
+        edges = stored(parted(small, rows and 2 * rows), "stars")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        last = state
+        last, rows = state, rows and state[0]
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, bits: int = BITS) -> DataFrame:
@@ -144,8 +150,9 @@ def stage(spark, docs, sf_dir):
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     many = rows.groupBy("grp").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     at = [F.col("doc_id").alias("__id"), F.col("key").alias("__key")]
-    gone = stored(rows.join(many, "grp").where(rank != F.col("kept")).select(*at).distinct(), "copies")
-    twice = stored(rows.groupBy("doc_id", "key").count().where("count > 1").select(*at), "repeated")
+    parts = 1 + rows.count() // EDGES
+    gone = stored(rows.join(many, "grp").where(rank != F.col("kept")).select(*at).distinct().coalesce(parts), "copies")
+    twice = stored(rows.groupBy("doc_id", "key").count().where("count > 1").select(*at).coalesce(parts), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
     gone, twice = (broadcast_within(df, df.count())[0] for df in (gone, twice))
     left = docs.join(gone, same, "left_anti")
