@@ -25,6 +25,8 @@ from .common import in_small_batches, table
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers.
 REMEMBERED = 900_000
+#: The same in the pipeline, whose workers serve all stages.
+STAGE_REMEMBERED = 150_000
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 BPE, UNIGRAM = 2, 1
 
@@ -126,11 +128,11 @@ class Pieces:
             self.known[w] = np.array(out[::-1], "<i4").tobytes()
             before = w
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def encode(self, texts: list[str], remembered: int = REMEMBERED) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. Words of earlier calls are forgotten when there are more than `remembered`."""
         cut = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
         words = [cut((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > remembered:
             self.known.clear()
         self.walk(sorted(set().union(*words).difference(self.known)))
         get = self.known.__getitem__
@@ -148,16 +150,19 @@ def pieces(file: str) -> Pieces:
     return _models[file]
 
 
-def _encode(file: str):
+def _encode(file: str, remembered: int, forget: bool):
     def run(batches):
         model = pieces(file)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                got = model.encode([t or "" for t in b.column("text").to_pylist()])
+                got = model.encode([t or "" for t in b.column("text").to_pylist()], remembered)
                 n = np.array([len(x) // 4 for x in got], np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.frombuffer(b"".join(got), "<i4")))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), ids], ["doc_id", "n_tokens", "ids"])
+        if forget:
+            model.known.clear()
+            model.fits.clear()
 
     return run
 
@@ -175,14 +180,15 @@ def _decode(file: str):
     return run
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
+def encode(docs: DataFrame, model: str, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids for every row.
 
     A null text counts as empty, an empty one has no ids. doc_ids may be null or repeated, and equal texts have equal ids. Of
     pieces that lead to equal scores (ties, unigram files only) the longest is taken. Long texts are encoded whole. No rows: no rows.
-    Other columns are ignored.
+    Other columns are ignored. remembered: words that a worker keeps from batch to batch; forget: whether it drops them when a task
+    ends, for jobs whose later steps need the worker's memory. Neither changes the ids.
     """
-    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(model), "doc_id long, n_tokens long, ids array<int>")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_encode(model, remembered, forget), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
@@ -204,4 +210,4 @@ def op2_sentencepiece(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """The ids of every document that is left, one row for each row; null and empty texts have none."""
-    return encode(docs, model_file())
+    return encode(docs, model_file(), remembered=STAGE_REMEMBERED, forget=True)

@@ -89,6 +89,8 @@ def test_pieces(docs, texts, empty):
     got = pieces.decode(pieces.encode(docs, file), file).collect()
     assert order((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in got) == order((i, len(x := lib.encode(t or "")), tuple(x), t or "") for i, t in texts)
     assert pieces.encode(empty, file).count() == 0
+    forgetful = pieces.encode(docs, file, remembered=3, forget=True).collect()
+    assert order((r.doc_id, tuple(r.ids)) for r in forgetful) == order((r.doc_id, tuple(r.ids)) for r in got)
 
 
 def unigram(sp, names_scores):
