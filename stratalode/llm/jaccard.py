@@ -1,9 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash fingerprints of word shingles, with the exact Jaccard similarity as the check.
 
-Shingles have one fixed order, rare ones first as far as a sample tells. Of two sets with similarity
+Fingerprints that differ in few bits meet by the block triples of `simhash.links`, equal ones through their smallest set, and what
+meets is linked if the sets' similarity is SHARE or more. No number of bits bounds the similarity, so the links that fingerprints
+don't see are found exactly: shingles have one fixed order, rare ones first as far as a sample tells. Of two sets with similarity
 SHARE or more, each has a shingle of the other among its first n - ceil(SHARE n) + 1, so these
 prefixes are the join keys and no pair is missed; the sample bears on speed only. Equal sets are one
-class from the start. First each class of a key is compared with the key's smallest, then with others
+class from the start. Each class of a key that SimHash has not connected yet is compared with others
 drawn from it, and at last classes that are not yet connected with one another. Pairs whose sizes or parity sketches rule them out are not compared: a sketch
 has two bits or more for each shingle, so its differing bits are a lower bound of the symmetric difference, and one that long sets do not fill.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from .common import SPACES, ascii_lower, broadcast_within, in_small_batches, plan_bytes, split_words, stored
-from .simhash import components
+from .simhash import BITS, components, links
 
 WORDS = 5
 #: Similarity at least NUM / DEN.
@@ -50,6 +52,14 @@ def sketch(mixed: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=64 * words).astype(np.uint8) & 1).view(np.int64)
 
 
+def fingerprint(mixed: np.ndarray) -> np.int64:
+    """SimHash of the mixed hashes: a bit is 1 if over half of them have it; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(mixed), 4096):
+        ones += np.unpackbits(mixed[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(mixed)).view(np.int64)[0]
+
+
 def _may_match() -> Column:
     """Whether sizes and sketches of sides a and b leave the similarity possible. Of sizes that do, one sketch is at most twice the other."""
     a, b = F.col("n_a"), F.col("n_b")
@@ -65,13 +75,13 @@ def _may_match() -> Column:
 
 
 def _sets(size: int, common: tuple[np.ndarray, np.ndarray] | None, whole: bool):
-    """Batches of key, words to key, node, n, sketch and prefix, or to node and the whole set."""
+    """Batches of key, words to key, node, n, fp, sketch and prefix, or to node and the whole set."""
 
     def run(batches):
         for b in batches:
             lists = b.column("words")
             flat, at = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            nodes, ns, maps, parts = [], [], [], []
+            nodes, ns, fps, maps, parts = [], [], [], [], []
             for i, j in zip(at, at[1:], strict=False):
                 s = shingle_set(flat[i:j], size)
                 with np.errstate(over="ignore"):
@@ -82,6 +92,7 @@ def _sets(size: int, common: tuple[np.ndarray, np.ndarray] | None, whole: bool):
                     parts.append(s)
                     continue
                 maps.append(sketch(mixed))
+                fps.append(fingerprint(mixed))
                 if common is not None and len(common[0]):
                     k = np.minimum(np.searchsorted(common[0], s), len(common[0]) - 1)
                     s = s[np.argsort(np.where(common[0][k] == s, common[1][k], 0), kind="stable")]
@@ -96,8 +107,8 @@ def _sets(size: int, common: tuple[np.ndarray, np.ndarray] | None, whole: bool):
                 ends = np.concatenate(([0], np.cumsum([len(m) for m in maps]))).astype(np.int32)
                 sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
                 kept = [c for c in b.schema.names if c != "words"]
-                out = [*(b.column(c) for c in kept), node, pa.array(np.array(ns, np.int32)), sketches, got]
-                yield pa.RecordBatch.from_arrays(out, [*kept, "node", "n", "sketch", "prefix"])
+                out = [*(b.column(c) for c in kept), node, pa.array(np.array(ns, np.int32)), pa.array(np.array(fps, np.int64)), sketches, got]
+                yield pa.RecordBatch.from_arrays(out, [*kept, "node", "n", "fp", "sketch", "prefix"])
 
     return run
 
@@ -111,8 +122,8 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     step = max(1, docs.count() // SAMPLE)
     some = docs.where(F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(step)) == 0).select(hashed_words(F.col("text")).alias("words"))
     hs = some.mapInArrow(_sets(size, None, True), "node long, set array<long>").select(F.explode("set").alias("h"))
-    top = hs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in top], np.int64), np.array([r.n for r in top], np.int64)
+    top = hs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()  # rows of Python would take the driver ten times the bytes
+    h, n = (top.column(c).to_numpy() for c in ("h", "n"))
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -128,22 +139,28 @@ def _joined(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, so
     light = classes.select("node", "n", "sketch")
     for c in "ab":
         pairs = pairs.join(light.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "sketch")]), c)
-    pairs, n = _kept(pairs.where(_may_match()).select("a", "b"))
+    pairs = stored(pairs.where(_may_match()).select("a", "b"), "pairs")  # written, for the driver holds the plans of persisted tables within those of all that follow
+    n = pairs.count()
     if not n:
-        pairs.unpersist()
         return so_far
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys, several = _kept(nodes.join(classes.select("node", "key"), "node").select(F.col("key").alias("k")))
-    texts = docs.join(broadcast_within(keys, several)[0], F.col("key") == F.col("k"), "left_semi").select(hashed_words(F.col("text")).alias("words"))
-    sets, _ = _kept(texts.mapInArrow(_sets(size, None, True), "node long, set array<long>").dropDuplicates(["node"]))
+    keys = nodes.join(classes.select("node", "key"), "node").select(F.col("key").alias("k"))
+    texts = docs.join(broadcast_within(keys, 2 * n)[0], F.col("key") == F.col("k"), "left_semi").select(hashed_words(F.col("text")).alias("words"))
+    sets = texts.mapInArrow(_sets(size, None, True), "node long, set array<long>").dropDuplicates(["node"]).persist(StorageLevel.DISK_ONLY)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    near = both.where((NUM + DEN) * common >= NUM * (F.size("x") + F.size("y"))).select("a", "b")
-    out = components(near.unionByName(so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))), n + so_far.count())
-    for df in (pairs, keys, sets):
-        df.unpersist()
-    return out
+    near = stored(both.where((NUM + DEN) * common >= NUM * (F.size("x") + F.size("y"))).select("a", "b"), "near")
+    sets.unpersist()
+    return components(near.unionByName(so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))), n + so_far.count())
+
+
+def drawn_together(classes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of nodes of classes (node, fp) that SimHash brings together: each with the smallest of its fingerprint, and those with one another within the distance."""
+    own = stored(classes.groupBy("fp").agg(F.min("node").alias("m")), "fingerprints")
+    equal = classes.join(own, "fp").where("node != m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    tiles = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return equal.unionByName(links(own.select(F.col("m").alias("node"), "fp"), bits, tiles)).distinct()
 
 
 def near_copies(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -154,24 +171,22 @@ def near_copies(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """
     docs = in_small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("key"))
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, key long, node long, n int, sketch array<long>, prefix array<long>"
+    schema = f"doc_id {kind}, key long, node long, n int, fp long, sketch array<long>, prefix array<long>"
     prints = docs.select("doc_id", "key", hashed_words(F.col("text")).alias("words")).mapInArrow(_sets(size, common_shingles(docs, size), False), schema)
     prints = stored(prints, "prints")
-    first = [F.first(c).alias(c) for c in ("sketch", "prefix")]
+    first = [F.first(c).alias(c) for c in ("fp", "sketch", "prefix")]
     classes = prints.groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), *first)
     classes = stored(classes.coalesce(1 + plan_bytes(prints) // PART), "classes")
     at = classes.select("node", "n", F.explode("prefix").alias("shingle"))
-    several = at.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("node", "n")).alias("first")).where("rows > 1")
-    several, n = _kept(several.select("shingle", F.col("first.node").alias("m"), F.col("first.n").alias("mn")))
+    several, n = _kept(at.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("shingle"))
     shared = stored(at.join(broadcast_within(several, n)[0], "shingle"), "shared")
     several.unpersist()
     near = lambda x, y: DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
-    stars = shared.where((F.col("node") != F.col("m")) & near(F.col("n"), F.col("mn"))).select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
-    so_far = _joined(stars, docs, classes, size, docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")))
+    so_far = _joined(drawn_together(classes.select("node", "fp")), docs, classes, size, docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component")))
 
     def parted() -> DataFrame:
-        return shared.select("node", "n", "shingle").join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return shared.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     for turn in range(TURNS):  # in a large group most classes are linked to one of the few that its shingles draw, and need no more comparisons
         left = parted()

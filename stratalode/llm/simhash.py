@@ -76,15 +76,15 @@ def _forest(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
 
-def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) between classes (node, fp) within the distance, enough of them to connect what is connected."""
+def links(classes: DataFrame, bits: int = BITS, parts: int | None = None) -> DataFrame:
+    """Links (a, b) between classes (node, fp) within the distance, enough of them to connect what is connected. With parts, tiles are dealt to as many tasks, however few their bytes."""
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(block_masks(bits=bits))])
     at = classes.select("node", "fp", F.explode(keys).alias("b")).select("node", "fp", "b.k", "b.v")
     several = at.groupBy("k", "v").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     at = at.join(several, ["k", "v"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = at.withColumn("with", other).select("node", "fp", "k", "v", F.least("chunk", "with").alias("x"), F.greatest("chunk", "with").alias("y"), F.col("chunk").alias("side"))
-    tiles = tiles.repartition("k", "v", "x", "y")  # else all tiles of a frequent key would stay in the task of its join
+    tiles = tiles.repartition(*([parts] if parts else []), "k", "v", "x", "y")  # else all tiles of a frequent key would stay in the task of its join
     return tiles.groupBy("k", "v", "x", "y").applyInPandas(lambda pdf: _forest(pdf, bits), "a long, b long")
 
 
@@ -141,6 +141,8 @@ def op9_simhash_near_dedup(spark, sf_dir):
 def stage(spark, docs, sf_dir):
     """Keeps one document of each group of near copies: five-word shingles with Jaccard similarity 0.8 or more, linked.
 
+    SimHash brings together what is compared first; what it doesn't see is found by exact filters (`jaccard.near_copies`).
+
     That is the row with the smallest doc_id (null last), then text hash. Rows are told apart by doc_id and text; of rows that are
     equal in both one stays. Texts without words, and null, are copies of one another. No rows: no rows.
     """

@@ -48,3 +48,28 @@ def test_near_copies(spark):
     assert 0 < sum(i >= 100000 for i, _ in want) < 650
     assert sorted(r.doc_id for r in simhash.stage(spark, docs, D).collect()) == sorted(i for i, _ in want)
     assert simhash.stage(spark, docs.limit(0), D).count() == 0
+
+
+def test_simhash_brings_near_copies_together(spark, monkeypatch):
+    from stratalode.llm import jaccard
+
+    met = []
+
+    def spied(classes, *rest):
+        out = simhash.links(classes, *rest)
+        met.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "links", spied, raising=False)
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(400))) for i in range(40)]
+    rows += [(100 + i, t + f" end{i}") for i, t in rows[:20]]
+    got = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.grp, []).append(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted([[i, 100 + i] for i in range(20)] + [[i] for i in range(20, 40)])
+    assert len(set(met)) >= 10  # most of the twenty pairs are within three bits
+
+    equal = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 6), (5, 1 << 40)], "node long, fp long")
+    assert {(r.a, r.b) for r in jaccard.drawn_together(equal).collect()} >= {(2, 1), (3, 1)}
