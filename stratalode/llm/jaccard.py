@@ -25,6 +25,8 @@ WORDS = 5
 #: Similarity at least NUM / DEN.
 NUM, DEN = 4, 5
 TILE = 512
+#: Classes of a shingle up to which their pairs are fewer bytes than their sketches.
+FEW = 8
 #: Times that each shingle's classes are compared with one drawn from them, before those still apart are all compared.
 TURNS = 2
 SAMPLE = 4000
@@ -60,18 +62,20 @@ def fingerprint(mixed: np.ndarray) -> np.int64:
     return np.packbits(2 * ones > len(mixed)).view(np.int64)[0]
 
 
+def _folded(x: Column) -> Column:
+    """The sketch of half the size."""
+    return F.transform(F.sequence(F.lit(0), (F.size(x) / 2).cast("int") - 1), lambda i: F.get(x, 2 * i).bitwiseXOR(F.get(x, 2 * i + 1)))
+
+
 def _may_match() -> Column:
-    """Whether sizes and sketches of sides a and b leave the similarity possible. Of sizes that do, one sketch is at most twice the other."""
+    """Whether sizes and sketches of sides a and b, if there, leave the similarity possible. Of sizes that do, one sketch is at most twice the other."""
     a, b = F.col("n_a"), F.col("n_b")
 
-    def folded(x: Column, y: Column) -> Column:
-        half = F.transform(F.sequence(F.lit(0), F.size(y) - 1), lambda i: F.get(x, 2 * i).bitwiseXOR(F.get(x, 2 * i + 1)))
-        return F.when(F.size(x) > F.size(y), half).otherwise(x)
-
     x, y = F.col("sketch_a"), F.col("sketch_b")
-    bits = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    same = lambda x, y: F.when(F.size(x) > F.size(y), _folded(x)).otherwise(x)
+    bits = F.zip_with(same(x, y), same(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     apart = F.aggregate(bits, F.lit(0), lambda t, n: t + n)
-    return (DEN * F.least(a, b) >= NUM * F.greatest(a, b)) & ((NUM + DEN) * apart <= (DEN - NUM) * (a + b))
+    return (DEN * F.least(a, b) >= NUM * F.greatest(a, b)) & F.coalesce((NUM + DEN) * apart <= (DEN - NUM) * (a + b), F.lit(True))
 
 
 def _sets(size: int, common: tuple[np.ndarray, np.ndarray] | None, whole: bool):
@@ -197,9 +201,12 @@ def near_copies(docs: DataFrame, size: int = WORDS) -> DataFrame:
         so_far = _joined(stars, docs, classes, size, so_far)
     open_ = parted()
     ends = open_.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
-    ends = ends.select("shingle", (F.ceil(F.col("rows") / TILE) - 1).cast("int").alias("last"))
+    ends = ends.select("shingle", (F.ceil(F.col("rows") / TILE) - 1).cast("int").alias("last"), (F.col("rows") > FEW).alias("many"))
     open_ = open_.join(ends, "shingle").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
-    open_, _ = _kept(open_.join(classes.select("node", "sketch"), "node").select("node", "n", "shingle", "component", "chunk", "last", "sketch"))
+    open_ = stored(open_.select("node", "n", "shingle", "component", "chunk", "last", "many"), "open")
+    # sketches are the most of what shuffles hold here, so those of half the size go along, and only where pairs would outnumber rows; _joined has them all
+    halves = classes.select(F.col("node").alias("of"), F.lit(True).alias("many"), _folded(F.col("sketch")).alias("sketch"))
+    open_ = open_.join(halves, (F.col("node") == F.col("of")) & (open_["many"] == halves["many"]), "left").select(open_["*"], "sketch")
     side = lambda to, x, y: open_.select("shingle", *[F.col(c).alias(f"{c}_{to}") for c in ("node", "n", "component", "sketch")], x.alias("x"), y.alias("y"))
     left = side("a", F.col("chunk"), F.explode(F.sequence("chunk", "last")))
     right = side("b", F.explode(F.sequence(F.lit(0), "chunk")), F.col("chunk"))
@@ -207,5 +214,4 @@ def near_copies(docs: DataFrame, size: int = WORDS) -> DataFrame:
     on += [F.col("component_a") != F.col("component_b"), (left["x"] != left["y"]) | (F.col("node_a") < F.col("node_b")), _may_match()]
     rest = left.join(right, on).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     so_far = _joined(rest, docs, classes, size, so_far)
-    open_.unpersist()
     return prints.select("doc_id", "key", "node").join(so_far, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("grp"))
