@@ -73,20 +73,60 @@ def components(edges: DataFrame) -> DataFrame:
     return out.join(sizes, "component").select("node", "component", "size")
 
 
+def _single(edges: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """Cycles (path) of nodes with one edge each, and the edges that may lie on others.
+
+    A walk along such nodes is one function, so it is followed by squaring: after k rounds `to` lies 2^k steps ahead. Its images shrink
+    to the cycles, and when they stay as many, they are the cycles; the smallest node and its distance follow by squaring again. Rounds
+    grow with the logarithm of the longest walk. Of the other edges those stay that don't lead to such a cycle: walks that end there never return.
+    """
+    one = edges.groupBy("src").agg(F.min("dst").alias("to"), F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("src").alias("node"), "to")
+    one = stored(one, "single")
+    walks, n = one, -1  # a walk that comes to a node with no edge or several stays there
+    while True:
+        m = walks.select("to").join(one.select(F.col("node").alias("to")), "to", "left_semi").distinct().count()
+        if m == n or not m:
+            break
+        n = m
+        walks = rounds.keep(walks.join(walks.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "walks")
+    if not m:
+        return edges.limit(0).select(F.array("src", "dst").alias("path")), edges
+    on = stored(walks.join(one.select(F.col("node").alias("to")), "to", "left_semi").select(F.col("to").alias("node")).distinct(), "circle")
+    gone = walks.join(on.withColumnRenamed("node", "to"), "to", "left_semi").select("node")
+    # best: the smallest of the first `step` nodes from here, and how far ahead it is; a whole turn finds the cycle's smallest
+    at = rounds.keep(one.join(on, "node").select("node", "to", F.struct(F.col("node").alias("least"), F.lit(0).cast("long").alias("far")).alias("best")), "turns")
+    step, same = 1, False
+    while not same:
+        ahead = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("best").alias("other"))
+        other = F.struct(F.col("other.least").alias("least"), (F.col("other.far") + step).alias("far"))
+        took = at.join(ahead, "to").select("node", F.col("next").alias("to"), F.least("best", other).alias("best"), (F.col("other.least") < F.col("best.least")).alias("better"))
+        at = rounds.keep(took, "turns")
+        same, step = at.where("better").isEmpty(), 2 * step
+    turn = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("best.far")).alias("place"), "node"))), lambda x: x["node"])  # the farthest from the smallest comes after it
+    found = at.groupBy(F.col("best.least").alias("first")).agg(turn.alias("rest"))
+    paths = found.select(F.concat(F.array("first"), F.array_remove("rest", F.col("first"))).alias("path"))
+    left = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return stored(paths, "turns"), stored(left.select("src", "dst"), "left")
+
+
 def circular(edges: DataFrame, most: int | None = None) -> DataFrame:
     """path, length of every simple cycle of two nodes or more (of `most` at most, if given), each once and from its smallest node.
 
-    Paths grow within a component only, through nodes larger than their first, and never over a node twice, so they end by
-    themselves. A component with many edges has a number of cycles that grows exponentially, and they are the result; see
+    Cycles of nodes with one edge each come from squaring (_single). The other paths grow within a component only, through nodes
+    larger than their first, and never over a node twice, so they end by themselves. A component with many edges has a number of cycles that grows exponentially, and they are the result; see
     components() for an account of it that does not.
     """
+    edges = stored(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), "edges")
+    turns, edges = _single(edges, Rounds(edges.sparkSession, "single"))
+    if most is not None:
+        turns = turns.where(F.size("path") <= most)
     comps = stored(components(edges), "components")
     at = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-    inner = edges.where("src <> dst").select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst").where("src_in = dst_in")
+    inner = edges.join(at("src"), "src").join(at("dst"), "dst").where("src_in = dst_in")
     inner = stored(inner.select("src", "dst"), "inner")
     first, last = F.get("path", F.lit(0)), F.element_at("path", -1)
     paths = stored(inner.where("src < dst").select(F.array("src", "dst").alias("path")), "paths")
-    out, k = paths.limit(0), 2
+    out, k = turns, 2
     while (most is None or k <= most) and not paths.isEmpty():
         out = out.unionByName(paths.join(inner, (last == F.col("src")) & (first == F.col("dst")), "left_semi"))
         grown = paths.join(inner, last == F.col("src")).where((F.col("dst") > first) & ~F.array_contains("path", F.col("dst")))

@@ -67,6 +67,21 @@ def test_components_and_cycles(spark, name):
         assert graph.circular(edges, 6).count() == 0
 
 
+def test_long_walks_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    ring, other = rng.sample(range(1000), 150), rng.sample(range(1000, 1200), 11)
+    turn = lambda x: list(zip(x, x[1:] + x[:1], strict=True))
+    tail = [(3000 + i, 3001 + i) for i in range(120)] + [(3120, ring[7])]
+    two = [(5000, 5001), (5001, 5000), (5001, 5002), (5002, 5000), (5000, ring[0])]
+    tables, write = [], graph.stored
+    keep = graph.Rounds.keep
+    monkeypatch.setattr(graph, "stored", lambda df, name: tables.append(name) or write(df, name))
+    monkeypatch.setattr(graph.Rounds, "keep", lambda self, df, what, *most: tables.append(what) or keep(self, df, what, *most))
+    got = sorted(tuple(r.path) for r in graph.circular(spark.createDataFrame(turn(ring) + turn(other) + tail + two, "src int, dst int")).collect())
+    rolled = lambda x: tuple(x[x.index(min(x)) :] + x[: x.index(min(x))])
+    assert got == sorted([rolled(ring), rolled(other), (5000, 5001), (5000, 5001, 5002)]) and len(tables) < 60
+
+
 def test_running_sums_over_ranges(spark):
     rng = random.Random(2)
     rows = [(rng.choice("abc"), rng.randrange(4), rng.choice((1, 5, None))) for _ in range(500)] + [("b", 2, 3)] * 400
