@@ -39,8 +39,10 @@ def script_fields(lines: DataFrame) -> DataFrame:
 
 def endpoint_models(routes: DataFrame, models: DataFrame) -> DataFrame:
     """url, model for endpoints whose next 30 lines name a model; the last place of a route counts."""
-    last = routes.groupBy("url").agg(F.max_by("context", F.struct("rel", "line")).alias("context"))
-    return last.join(containment.pairs(last, "context", models, "model"), "context").select("url", "model")
+    said = F.struct(F.xxhash64("context").alias("x"), F.xxhash64(F.lit(7), "context").alias("y"))  # stands for the context, so that neither places nor pairs carry it
+    last = routes.groupBy("url").agg(F.max(F.struct("rel", "line", said.alias("said")))["said"].alias("said"))
+    hits = containment.held(routes.select("context", said.alias("said")), "context", models, "model", ("said",))
+    return last.join(hits, "said").select("url", "model")
 
 
 def declared_endpoints(lines: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def coupling_summary(healthy: DataFrame) -> DataFrame:
 
 def has_test(functions: DataFrame, test_files: DataFrame) -> DataFrame:
     """Adds has_test: whether the function's name is part of a test file's path."""
-    found = containment.pairs(test_files, "rel", functions, "name").select(F.col("name").alias("__n")).distinct()
+    found = containment.held(test_files, "rel", functions, "name", longest=8).select(F.col("name").alias("__n"))
     return functions.join(found, F.col("name") == F.col("__n"), "left").withColumn("has_test", F.col("__n").isNotNull()).drop("__n")
 
 

@@ -149,3 +149,32 @@ def test_fix_order_of_all(spark):
     df = spark.createDataFrame(rows, "severity string, confidence double, tier string, rule_id string, rel string, line int")
     assert [r.line for r in sorted(rollups.plan(df).collect(), key=lambda r: r.place)] == [4, 2, 1, 3]
     assert [r.line for r in rollups.plan(df, 2).collect()] == [4, 2]
+
+
+def test_names_that_rows_hold(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abé😀") for _ in range(rng.randrange(n)))
+    texts, names = [(rng.randrange(9), text(14)) for _ in range(80)] + [(0, None), (1, "")], [(text(6),) for _ in range(40)] + [(None,), ("",)]
+    t, n = spark.createDataFrame(texts, "g int, t string"), spark.createDataFrame(names, "n string")
+    want = sorted({(g, b) for g, a in texts for (b,) in names if a is not None and b and b in a})
+    for longest, most in ((3, 10**6), (8, 10**6), (2, 7)):
+        monkeypatch.setattr(containment, "NAMES", most)
+        assert sorted(map(tuple, containment.held(t, "t", n, "n", ("g",), longest).collect())) == want
+    assert sorted(r.n for r in containment.held(t, "t", n, "n").collect()) == sorted({b for _, b in want})
+    assert containment.held(t, "t", n.limit(0), "n", ("g",)).collect() == [] == containment.held(t.limit(0), "t", n, "n", ("g",)).collect()
+
+
+def test_pairs_carry_no_texts(spark):
+    import re
+
+    from stratalode.operators import interfaces, reports
+
+    routes = spark.createDataFrame([("/a", "x Item y", "r", 1), ("/a", "Order", "r", 2), (None, "Order Item", "q", 1), ("/b", None, "r", 1)], "url string, context string, rel string, line int")
+    got = interfaces.endpoint_models(routes, spark.createDataFrame([("Item",), ("Order",)], "model string"))
+    assert sorted(map(tuple, got.collect()), key=str) == [("/a", "Order"), (None, "Item"), (None, "Order")]
+    tested = reports.has_test(spark.createDataFrame([("load",)], "name string"), spark.createDataFrame([("t/test_load.py",)], "rel string"))
+    assert [r.has_test for r in tested.collect()] == [True]
+    for df, column in ((got, "(context|__text)"), (tested, "(rel|__text)")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        above = plan.split("Generate")[0]  # joins and aggregates that stand above the cut of the texts
+        assert not re.search(rf"Aggregate \[[^\]]*\b{column}#", above), above
