@@ -14,6 +14,8 @@ EXEMPT = ("main", "setUp", "tearDown", "setUpClass", "tearDownClass", "setUpModu
 EXEMPT_PREFIXES = ("test_", "on_", "handle_", "do_", "setup_", "teardown_", "_")
 # Event calls of sockets.
 EMIT, LISTEN = r"""(?i)(?:socket|ws|io)\s*\.\s*emit\s*\(\s*['"]([^'"]+)['"]""", r"""(?i)(?:socket|ws|io)\s*\.\s*on\s*\(\s*['"]([^'"]+)['"]"""
+#: Functions that go to all tasks of a join with calls.
+FUNCTIONS = 500_000
 
 
 def smells(functions: DataFrame, classes: DataFrame, tries: DataFrame, constants: DataFrame) -> DataFrame:
@@ -50,11 +52,19 @@ def unused_imports(imports: DataFrame, names: DataFrame, strings: DataFrame) ->
     return left.join(said, ["rel", "bound"], "left_anti")
 
 
-def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """src, dst (rel::qualname) for each call and each function of the called name."""
-    key = F.concat_ws("::", "rel", "qualname")
-    to = functions.select(F.col("name").alias("callee"), key.alias("dst"))
-    return calls.where("caller != '<module>'").select(F.concat_ws("::", "rel", "caller").alias("src"), "callee").join(to, "callee").select("src", "dst")
+def call_edges(functions: DataFrame, calls: DataFrame, qualified: bool = True) -> DataFrame:
+    """src, dst (rel::qualname, or bare names if not qualified) for each call and each function of the called name.
+
+    The result may be far larger than both tables, with most rows from a few names, so calls are dealt evenly over the shuffle partitions
+    instead of by name, and functions go to all tasks; only more than FUNCTIONS of them are joined by a shuffle.
+    """
+    of = lambda c: F.concat_ws("::", "rel", c) if qualified else F.col(c)
+    to = functions.select(F.col("name").alias("callee"), of("qualname").alias("dst"))
+    if to.count() <= FUNCTIONS:
+        to = F.broadcast(to)
+    own = calls.where("caller != '<module>'").select(of("caller").alias("src"), "callee")
+    own = own.repartition(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "callee")
+    return own.join(to, "callee").select("src", "dst")
 
 
 def call_nodes(functions: DataFrame, edges: DataFrame) -> DataFrame:

@@ -49,8 +49,7 @@ def schema_drift(spark, d):
 def call_resolution(spark, d):
     f = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("qualname"), F.col("s_nationkey").cast("string").alias("name"), F.lit("").alias("rel"))
     c = read(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("caller"), F.col("c_nationkey").cast("string").alias("callee"), F.lit("").alias("rel"))
-    cut = lambda x: F.expr(f"substring({x}, 3)")
-    return code.call_edges(f, c).select(cut("src").alias("src"), cut("dst").alias("dst"))
+    return code.call_edges(f, c, qualified=False)
 
 
 @query(f"""with l as (select doc_id, line, lower(trim(regexp_replace(regexp_replace(text, '(#|//).*$', ''), '\\s+', ' ', 'g'), ' ')) as t from {DOC_LINES})

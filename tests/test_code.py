@@ -133,3 +133,17 @@ def test_watch(spark, tmp_path):
     finally:
         q.stop()
     assert list(seen.values()) == [[("a", "created"), ("b", "created")], [("a", "modified")], [("a", "deleted"), ("c", "created")]]
+
+
+def test_calls_of_one_name_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from stratalode.operators import code
+
+    f = spark.range(40).selectExpr("concat('f', id) as qualname", "'x' as name", "'m' as rel")
+    c = spark.range(400).selectExpr("concat('c', id) as caller", "'x' as callee", "'m' as rel").coalesce(1)
+    got = code.call_edges(f, c)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 16000 and max(sizes) < 8000 and got.distinct().count() == 16000
+    assert got.select("src").first().src.startswith("m::c")
+    assert {(r.src[0], r.dst[0]) for r in code.call_edges(f, c, qualified=False).limit(50).collect()} == {("c", "f")}
