@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,10 +41,12 @@ def script_fields(lines: DataFrame) -> DataFrame:
 
 def endpoint_models(routes: DataFrame, models: DataFrame) -> DataFrame:
     """url, model for endpoints whose next 30 lines name a model; the last place of a route counts."""
-    said = F.struct(F.xxhash64("context").alias("x"), F.xxhash64(F.lit(7), "context").alias("y"))  # stands for the context, so that neither places nor pairs carry it
-    last = routes.groupBy("url").agg(F.max(F.struct("rel", "line", said.alias("said")))["said"].alias("said"))
-    hits = containment.held(routes.select("context", said.alias("said")), "context", models, "model", ("said",))
-    return last.join(hits, "said").select("url", "model")
+    place = F.struct("rel", "line", F.xxhash64("context").alias("x"), F.xxhash64(F.lit(7), "context").alias("y"))  # the hashes stand for the context
+    spark = routes.sparkSession
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)  # files may be few; each part learns its words anew
+    dealt = routes.select("url", place.alias("place"), "context").repartition(parts, "url", "place")
+    last = [t.groupBy("url").agg(F.max_by("model", "place").alias("model")) for t in containment.listed(dealt, "context", models, "model")]
+    return functools.reduce(DataFrame.unionByName, [t.select("url", F.explode("model").alias("model")) for t in last])
 
 
 def declared_endpoints(lines: DataFrame) -> DataFrame:

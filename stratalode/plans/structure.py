@@ -74,7 +74,7 @@ def endpoint_models(spark, d):
     """The first words of all documents as models, within whole pages as what follows an endpoint."""
     pages = read(spark, d, "pages").select(F.col("page_id").cast("string").alias("url"), F.col("html").alias("context"), F.lit("p").alias("rel"), F.lit(1).alias("line"))
     models = read(spark, d, "documents").select(F.regexp_extract("text", "[A-Za-z]+", 0).alias("model"))
-    return interfaces.endpoint_models(pages, models).distinct()
+    return interfaces.endpoint_models(pages, models)
 
 
 @query("""with t as (select distinct trim(replace(lower(regexp_extract(p_name, '[a-zA-Z0-9]+')), '_', '-')) as package from part), d as (select distinct lower(regexp_extract(text, '[a-zA-Z0-9]+')) as p from documents)
