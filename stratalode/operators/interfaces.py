@@ -43,7 +43,7 @@ def endpoint_models(routes: DataFrame, models: DataFrame) -> DataFrame:
     """url, model for endpoints whose next 30 lines name a model; the last place of a route counts."""
     place = F.struct("rel", "line", F.xxhash64("context").alias("x"), F.xxhash64(F.lit(7), "context").alias("y"))  # the hashes stand for the context
     spark = routes.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)  # files may be few; each part learns its words anew
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # files may be few
     dealt = routes.select("url", place.alias("place"), "context").repartition(parts, "url", "place")
     last = [t.groupBy("url").agg(F.max_by("model", "place").alias("model")) for t in containment.listed(dealt, "context", models, "model")]
     return functools.reduce(DataFrame.unionByName, [t.select("url", F.explode("model").alias("model")) for t in last])

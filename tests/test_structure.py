@@ -186,15 +186,29 @@ def test_models_meet_texts_without_a_join(spark, monkeypatch):
     rng = random.Random(11)
     text = lambda n: "".join(rng.choice("aabé😀漢_1 .\n") for _ in range(rng.randrange(n)))
     urls = ["/a", "/b", "/c", None, *(f"/{i}" for i in range(40))]
-    routes = [(rng.choice(urls), text(30), rng.choice("rs"), i) for i in range(120)] + [("/n", "ab", "r", 1), ("/n", None, "r", 2), ("/e", "", "r", 1), ("/l", "b " + "xyz" * 9000 + "ab.1", "r", 1)]
+    routes = [(rng.choice(urls), text(30), rng.choice("rs"), i) for i in range(120)] + [("/n", "ab", "r", 1), ("/n", None, "r", 2), ("/e", "", "r", 1), ("/l", "b " + "xyz" * 30000 + "ab.1", "r", 1)]
     models = [text(7) for _ in range(150)] + ["", None, "ab", "xyzab", "zab.1", "zx" * 40, "a", "漢", "."]
     last = {u: t for u, t, _, _ in sorted(routes, key=lambda x: x[2:])}
     r = spark.createDataFrame(routes, "url string, context string, rel string, line int").cache()
     kinds = {"all": models, "letters": ["ab", "b", "aé", "漢a", "aa"], "words": ["a_", "1", "b1"], "none": []}
     for kind, most in (("all", 10**6), ("all", 40), ("letters", 10**6), ("words", 1), ("none", 5)):
         monkeypatch.setattr(containment, "NAMES", most)
-        monkeypatch.setattr(containment, "WORDS", 9, raising=False)
         got = interfaces.endpoint_models(r, spark.createDataFrame([(x,) for x in kinds[kind]], "model string"))
         want = {(u, n) for u, t in last.items() for n in kinds[kind] if n and t and n in t}
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
         assert "Join" not in plan_of(got)  # each text meets its names where it is, so no stretch of it is a row
+
+
+def test_names_across_texts_and_places(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("aabé😀漢_1 .") for _ in range(rng.randrange(n)))
+    for i in range(200):
+        texts, names = [rng.choice((None, text(20), text(40))) for _ in range(rng.randrange(9))], sorted({text(9) for _ in range(rng.randrange(30))} - {""})
+        monkeypatch.setattr(containment, "PLACES", (1, 2, 3, 5, 17, 1 << 16)[i % 6])
+        monkeypatch.setattr(containment, "LOAD", (4 << 20, 9)[i % 4 == 1])
+        monkeypatch.setattr(containment, "FACTOR", (0x9E3779B97F4A7C15, 1)[i % 2])  # with 1, hashes are sums of bytes, which many names share
+        known = containment._Names(names)
+        got = known.held(pa.array(["aa", *texts], pa.string()).slice(1), containment._Sums(containment.PLACES + known.longest + containment.HEAD))
+        assert [sorted(x) for x in got.to_pylist()] == [[n for n in names if t and n in t] for t in texts]
